@@ -1,0 +1,50 @@
+from hypothesis import given
+from hypothesis import strategies as st
+
+from weftline.llm import pii
+
+
+def slow_luhn(s):
+    d = [int(c) for c in s]
+    total = 0
+    for i, x in enumerate(reversed(d)):
+        if i % 2:
+            x *= 2
+            x = x - 9 if x > 9 else x
+        total += x
+    return len(d) >= 12 and len(set(d)) > 1 and total % 10 == 0
+
+
+@given(st.text("0123456789", min_size=1, max_size=20))
+def test_luhn(s):
+    assert pii.luhn(s) == slow_luhn(s)
+
+
+def test_mod97():
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and pii.mod97("DE89370400440532013000")
+    assert not pii.mod97("GB82 WEST 1234 5698 7654 33") and not pii.mod97("DE8937040044053201300")
+
+
+def test_spans():
+    text = "Write to ann.b@mail.example.com or call +1 (437) 555-0689. Card 4111 1111 1111 1111, not 4111 1111 1111 1112. IBAN DE89370400440532013000; host 10.1.2.300 and server 10.1.2.30. token = \"abcdef123456\""
+    got = {(k, text[a:b]) for k, a, b, _, _ in pii.spans(text)}
+    assert got == {("email", "ann.b@mail.example.com"), ("phone", "+1 (437) 555-0689"), ("card", "4111 1111 1111 1111"), ("iban", "DE89370400440532013000"), ("ipv4", "10.1.2.30"), ("secret", 'token = "abcdef123456"')}
+
+
+def test_context_changes_the_score():
+    score = lambda t: {s[0]: s[3] for s in pii.spans(t, 0)}["card"]
+    assert score("credit card 4111111111111111") > score("so 4111111111111111") > score("order 4111111111111111")
+    assert not pii.spans("order 4111111111111111") and pii.spans("so 4111111111111111")
+
+
+def test_overlaps_leave_the_best():
+    assert [s[0] for s in pii.spans("token = 4111111111111111")] == ["secret"]
+
+
+def test_frame(spark, odd, none):
+    docs = spark.createDataFrame([(1, "mail a@b.example.com x 4111111111111111"), (2, None), (3, ""), (None, "a@b.example.com"), (4, "nothing 12"), (5, "x " * 200_000 + "a@b.example.com")], "doc_id bigint, text string")
+    got = sorted(map(tuple, pii.find(docs).collect()), key=str)
+    want = sorted(((i, *s) for i, t in docs.collect() for s in pii.spans(t)), key=str)
+    assert got == want and len(got) == 4
+    assert pii.find(none).count() == 0 and pii.find(odd).count() == 0
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()][1] == "mail <email> x <card>"

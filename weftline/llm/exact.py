@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, remove, scratch, utf8
-from weftline.llm.members import only, without
+from weftline.llm.members import boxed, field, only, without
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,24 +74,24 @@ def _locator(docs: DataFrame) -> Column:
     return where
 
 
-def _ranked(docs: DataFrame, id_col: str, text_col: str, digest_of, files_per_batch: int) -> tuple[DataFrame, DataFrame, Column]:
-    """The documents whose digest repeats, with their place among equal texts; those digests; the digest's column."""
-    text, key = utf8(text_col), F.col(id_col).cast("bigint")
-    hits = _repeated(docs, text, key, digest_of=digest_of, files_per_batch=files_per_batch)
+def _ranked(rows: DataFrame, id_col: str, text_col: str, digest_of, hits: DataFrame) -> DataFrame:
+    """The boxed rows whose digest repeats, with their place among equal texts and the least id of those."""
+    text, key = utf8(field(text_col)), field(id_col).cast("bigint")
     # The window groups by the text itself: all bytes are compared, not the digests.
     same = Window.partitionBy(text).orderBy(key.asc_nulls_last())
-    inside = only(docs, digest_of(text), hits).withColumn("wl_place", F.row_number().over(same)).withColumn("wl_owner", F.first(key).over(same))
-    return inside, hits, digest_of(text)
+    return only(rows, digest_of(text), hits).withColumn("wl_place", F.row_number().over(same)).withColumn("wl_owner", F.first(key).over(same))
 
 
 def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_of=digest, files_per_batch: int = 10_000) -> DataFrame:
     """(doc_id, duplicate_of): each document whose whole text is that of one with a smaller id, with the least such id."""
-    inside, _, _ = _ranked(docs.select(id_col, text_col), id_col, text_col, digest_of, files_per_batch)
-    return inside.where("wl_place > 1").select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("wl_owner").alias("duplicate_of"))
+    hits = _repeated(docs, utf8(text_col), F.col(id_col).cast("bigint"), digest_of=digest_of, files_per_batch=files_per_batch)
+    inside = _ranked(boxed(docs.select(id_col, text_col)), id_col, text_col, digest_of, hits)
+    return inside.where("wl_place > 1").select(field(id_col).cast("bigint").alias("doc_id"), F.col("wl_owner").alias("duplicate_of"))
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_of=digest, files_per_batch: int = 10_000) -> DataFrame:
     """The documents, with all their columns, without those whose whole text came with a smaller id."""
-    names = docs.columns
-    inside, hits, own = _ranked(docs, id_col, text_col, digest_of, files_per_batch)
-    return without(docs, own, hits).unionByName(inside.where("wl_place = 1").select(*names))
+    hits = _repeated(docs, utf8(text_col), F.col(id_col).cast("bigint"), digest_of=digest_of, files_per_batch=files_per_batch)
+    rows = boxed(docs)
+    inside = _ranked(rows, id_col, text_col, digest_of, hits).where("wl_place = 1").select("wl_row")
+    return without(rows, digest_of(utf8(field(text_col))), hits).unionByName(inside).select("wl_row.*")

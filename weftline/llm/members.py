@@ -9,15 +9,27 @@ from pyspark.sql import functions as F
 SEND = 4_000_000
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column ``wl_row``, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct("*").alias("wl_row"))
+
+
+def field(name: str) -> Column:
+    """A column of boxed rows."""
+    return F.col("wl_row").getField(name)
+
+
 def _side(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SEND else keys
 
 
 def only(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows whose key is in the one column ``wl_key`` of keys."""
-    return df.join(_side(keys), key == F.col("wl_key"), "left_semi")
+    keys = _side(keys)
+    return df.join(keys, key == keys["wl_key"], "left_semi")
 
 
 def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows whose key isn't among them; a null key isn't."""
-    return df.join(_side(keys), key == F.col("wl_key"), "left_anti")
+    keys = _side(keys)
+    return df.join(keys, key == keys["wl_key"], "left_anti")

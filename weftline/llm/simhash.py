@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks, cut, fold_table, joined, utf8
 from weftline.llm.graph import components
-from weftline.llm.members import only, without
+from weftline.llm.members import boxed, field, only, without
 
 BITS = 64
 TAU, TAU_BOTH = 11, 22
@@ -100,9 +100,7 @@ def _sign(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x.view(np.int64), mask=~has) for x in (a, b)], ["a", "b"])
 
 
-def signed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with their signature in ``wl_sig``, a struct of a and b, both null where there is none."""
-    return docs.withColumn("wl_sig", F.arrow_udf(_sign, "struct<a: bigint, b: bigint>")(utf8(text_col)))
+_SIG = "struct<a: bigint, b: bigint>"
 
 
 @dataclass(frozen=True)
@@ -302,7 +300,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
 
     The texts are read once; only signatures travel. Equal signatures meet first, then distinct ones by their probes.
     """
-    own = cut(signed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("wl_text")), "wl_text").select("doc_id", "wl_sig.a", "wl_sig.b").where("doc_id is not null and a is not null"))
+    own = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.arrow_udf(_sign, _SIG)(utf8(text_col)).alias("s")).select("doc_id", "s.a", "s.b").where("doc_id is not null and a is not null"))
     sigs = cut(own.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = links(sigs, plan(sigs, tau), tau, tau_both)
     linked = components(found.select(F.xxhash64("a1", "b1").alias("u"), F.xxhash64("a2", "b2").alias("v")))
@@ -323,9 +321,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text. Documents with a null id or without a signature stay."""
     found = cut(groups(docs, id_col=id_col, text_col=text_col, **kw))
     ids = found.select(F.col("doc_id").alias("wl_key")).distinct()
-    key = F.col(id_col).cast("bigint")
-    names = docs.columns
-    inside = signed(only(docs, key, ids), text_col).withColumns({"wl_a": F.col("wl_sig.a"), "wl_b": F.col("wl_sig.b")})
-    roots = found.select(F.col("a").alias("wl_ra"), F.col("b").alias("wl_rb"), F.col("root").alias("wl_root")).distinct()
-    ranked = inside.join(roots, (F.col("wl_a") == F.col("wl_ra")) & (F.col("wl_b") == F.col("wl_rb")), "left").withColumn("wl_place", F.when(F.col("wl_root").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("wl_root").orderBy(key, utf8(text_col)))))
-    return without(docs, key, ids).unionByName(ranked.where("wl_place = 1").select(*names))
+    rows, key, text = boxed(docs), field(id_col).cast("bigint"), utf8(field(text_col))
+    roots = found.select(F.col("a").alias("wl_a"), F.col("b").alias("wl_b"), F.col("root").alias("wl_root")).distinct()
+    inside = only(rows, key, ids).withColumn("wl_sig", F.arrow_udf(_sign, _SIG)(text)).select("wl_row", F.col("wl_sig.a").alias("wl_a"), F.col("wl_sig.b").alias("wl_b")).join(roots, ["wl_a", "wl_b"], "left")
+    # An id can come again with a text that has no near duplicate: that row stays.
+    alone = F.col("wl_root").isNull()
+    ranked = inside.where(~alone).withColumn("wl_place", F.row_number().over(Window.partitionBy("wl_root").orderBy(key, text))).where("wl_place = 1")
+    return without(rows, key, ids).unionByName(inside.where(alone).select("wl_row")).unionByName(ranked.select("wl_row")).select("wl_row.*")
