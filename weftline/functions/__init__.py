@@ -1 +1 @@
-"""Functions of the style-audit engine."""
+"""Column functions: text, colour, paths, keys."""
