@@ -117,7 +117,7 @@ def _udf(each: Callable[[str], Any], kind: str, arrow: pa.DataType) -> Callable[
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else each(t) for t in texts.to_pylist()], arrow)
 
-    return F.arrow_udf(run, kind)
+    return lambda column: F.arrow_udf(run, kind)(column)
 
 
 def blank_comments(text: str) -> str:

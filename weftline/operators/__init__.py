@@ -1 +1 @@
-"""Operators of the style-audit engine."""
+"""Relational operators: extraction, classification, joins, aggregates, sets, graphs."""

@@ -1 +1 @@
-"""Plans of the style-audit engine."""
+"""Queries: operators over the tables, and composite gates."""
