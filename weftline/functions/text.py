@@ -106,9 +106,11 @@ def csv(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
 
 
-def shape_name(kebab: Column) -> Column:
-    """Whether a document's name is in kebab case, a date only in front."""
-    return kebab.rlike(r"^(\d{4}-\d{2}-\d{2}-)?[a-z0-9]+(-[a-z0-9]+)*\.md$") & ~kebab.rlike(r"^.+\d{4}-\d{2}-\d{2}.*$")
+def shape_name(name: Column) -> Column:
+    """Whether a file's name is in kebab case: a date or a number may stand in front, a date nowhere else (F21). Known names in capitals hold."""
+    plain = name.rlike(r"^(\d{4}-\d{2}-\d{2}-|\d+-)?[a-z0-9]+([a-z0-9.-]*[a-z0-9])?\.[a-z0-9]+$")
+    inside = name.rlike(r"\d{4}-\d{2}-\d{2}") & ~name.rlike(r"^\d{4}-\d{2}-\d{2}-")
+    return name.rlike(r"^(README|SCHEMA|CLAUDE|AGENTS|LICENSE|PROVENANCE)(\.md)?$") | (plain & ~inside)
 
 
 def _udf(each: Callable[[str], Any], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:

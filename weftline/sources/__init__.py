@@ -1 +1 @@
-"""Sources of the style-audit engine."""
+"""Sources and sinks: source trees, style sheets, token documents, change feeds, captures, configuration."""
