@@ -103,7 +103,7 @@ def positive(text: Column) -> Column:
 
 def csv(text: Column) -> Column:
     """The parts of a comma-separated list, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def shape_name(name: Column) -> Column:

@@ -102,7 +102,7 @@ def route_path(parent, path):
     """A child path under its parent: one slash between, * kept, no slash at the end but for the root."""
     whole = F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", parent, F.coalesce(path, F.lit(""))))
     short = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), whole), "/+", "/"), "(.)/$", "$1")
-    return short
+    return F.when((path == "*") & parent.isin("", "/"), "*").otherwise(short)
 
 
 def cascade(declarations: DataFrame, *, last: bool = True) -> DataFrame:
