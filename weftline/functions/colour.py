@@ -71,7 +71,8 @@ def luminance(colour: Column, linear: float = LINEAR) -> Column:
 def contrast(one: Column, other: Column, *, linear: float = LINEAR, digits: int | None = None) -> Column:
     """Contrast ratio, 1 to 21; rounded half to even before any comparison if digits are given."""
     a, b = luminance(one, linear), luminance(other, linear)
-    ratio = (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+    # greatest and least pass over nulls, which must not make an unknown colour equal to the known one.
+    ratio = F.when(a.isNotNull() & b.isNotNull(), (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05))
     return ratio if digits is None else F.bround(ratio, digits)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,10 +163,6 @@ def area(path: Column) -> Column:
 
 def elements(source: DataFrame) -> DataFrame:
     """(path, tag, line, classes, parent_tag, parent_classes) of a source's JSX elements, found by a tolerant scan of its tags."""
-    import re
-
-    import pyarrow as pa
-
     shape = pa.struct([(k, pa.int32() if k == "line" else pa.string()) for k in ("tag", "line", "classes", "parent_tag", "parent_classes")])
     token = re.compile(r"<(/?)([A-Za-z][\w.]*)((?:[^<>\"'{}]|\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*?)(/?)>")
     attr = re.compile(r"\bclass(?:Name)?\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\{))")
