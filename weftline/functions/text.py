@@ -231,3 +231,14 @@ def utility(name: Column) -> Column:
     parts = F.split(F.regexp_replace(bare, "^[a-z]+-", ""), "/")
     alpha = F.when(F.size(parts) > 1, F.coalesce(parts.getItem(1).try_cast("double") / 100, F.lit(1.0))).otherwise(1.0)
     return F.struct(parts.getItem(0).alias("body"), alpha.alias("alpha"))
+
+
+def pair_key(key: Column) -> Column:
+    """A capture's key as struct<route, theme, viewport>, from the parts between double underscores."""
+    parts = F.split(key, "__")
+    return F.struct(F.get(parts, F.lit(0)).alias("route"), F.get(parts, F.lit(1)).alias("theme"), F.get(parts, F.lit(2)).alias("viewport"))
+
+
+def by_locale(name: Column) -> Column:
+    """A name to sort by as people do: letters before case, accents after letters."""
+    return F.collate(name, "UNICODE")

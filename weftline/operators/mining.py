@@ -114,3 +114,29 @@ def consumption(classes: DataFrame, variables: DataFrame, aliases: DataFrame, na
     for column, df in ways:
         own = own.join(df.groupBy("name").agg(F.count("*").alias(column)), "name", "left").withColumn(column, F.coalesce(column, F.lit(0)))
     return own.withColumn("dead", F.col("by_class") + F.col("by_variable") + F.col("by_alias") == 0)
+
+
+_LAYOUT = r"^(flex|grid|block|inline|hidden|relative|absolute|items|justify|content|self|gap|space|w|h|min|max|overflow|[mp][xytrbl]?)(-|$)"
+
+
+def semantic_clusters(entities: DataFrame) -> DataFrame:
+    """(cluster, surface, decision, confidence, entities, tags, split, blockers) of entities (entity, classes, tag, roles array) that carry the same
+    classes in any order (D20).
+
+    A cluster's surface comes from its tags and classes; blockers are classes of mere layout and the absence of roles within;
+    it is to be split where tags differ or it is large. Each blocker and split lowers confidence; only a panel without doubt is a candidate.
+    """
+    words = F.split(F.trim("classes"), r"\s+")
+    key = F.array_join(F.array_sort(F.array_distinct(words)), " ")
+    own = entities.select("entity", "tag", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), key.alias("key"))
+    each = own.groupBy("key").agg(F.count("*").alias("entities"), F.array_sort(F.collect_set("tag")).alias("tags"), F.max(F.size("roles")).alias("roles"))
+    bare = F.forall(F.split("key", " "), lambda w: w.rlike(_LAYOUT))
+    control = F.exists("tags", lambda t: t.isin("a", "button", "input", "select", "textarea"))
+    panel = F.col("key").rlike(r"(^| )rounded") & F.col("key").rlike(r"(^| )(border|shadow)") & F.col("key").rlike(r"(^| )bg-")
+    surface = F.when(control, "interactive-control").when(panel, "card-or-panel").otherwise("structural")
+    blockers = F.array_compact(F.array(F.when(bare | (surface == "structural"), F.lit("generic-structural-classes")), F.when(F.col("roles") == 0, F.lit("no-semantic-child-roles"))))
+    split = F.when(F.size("tags") > 1, "tag").when(F.col("entities") > 20, "classHash")
+    lost = F.when(split.isNull(), 0).when(F.col("entities") > 40, 11).otherwise(5)
+    rows = each.select(F.concat(F.lit("cluster:"), F.substring(F.sha2("key", 256), 1, 16)).alias("cluster"), surface.alias("surface"), "entities", "tags", split.alias("split"), blockers.alias("blockers"), (92 - 14 * F.size(blockers) - lost).cast("int").alias("confidence"))
+    decision = F.when((F.col("surface") == "card-or-panel") & (F.col("confidence") >= 70), "style_token_candidate").otherwise("review_required")
+    return rows.withColumn("decision", decision)

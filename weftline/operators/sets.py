@@ -86,3 +86,8 @@ def declared(contexts: DataFrame, skipped: DataFrame, patterns: DataFrame) -> Da
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def numbered(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Rows with ``nth``, the number of each among equal keys; joined on it, multisets pair off one by one."""
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or map(F.col, keys)))))

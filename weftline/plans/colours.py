@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import model
@@ -97,3 +97,27 @@ def differences(tokens: DataFrame, *, name: str = "name") -> DataFrame:
     w = Window.partitionBy("a", "b")
     near: Column = F.count_if(F.col("delta_e") < model.IMPERCEPTIBLE).over(w)
     return pairs.select("a", "b", "theme", "delta_e", F.when(near == F.count("*").over(w), "all").when(near > 0, "one").otherwise("none").alias("pattern"))
+
+
+#: Neutral ramps of the utility palette, from stop 50 to 950.
+RAMPS = {
+    "stone": "fafaf9 f5f5f4 e7e5e4 d6d3d1 a8a29e 78716c 57534e 44403c 292524 1c1917 0c0a09",
+    "neutral": "fafafa f5f5f5 e5e5e5 d4d4d4 a3a3a3 737373 525252 404040 262626 171717 0a0a0a",
+    "zinc": "fafafa f4f4f5 e4e4e7 d4d4d8 a1a1aa 71717a 52525b 3f3f46 27272a 18181b 09090b",
+    "gray": "f9fafb f3f4f6 e5e7eb d1d5db 9ca3af 6b7280 4b5563 374151 1f2937 111827 030712",
+    "slate": "f8fafc f1f5f9 e2e8f0 cbd5e1 94a3b8 64748b 475569 334155 1e293b 0f172a 020617",
+}
+
+
+def palette(spark: SparkSession) -> DataFrame:
+    """(name, value) of the palette's neutral colours, white and black; transparent has no value."""
+    stops = (50, *range(100, 1000, 100), 950)
+    rows = [(f"{family}-{stop}", f"#{value}") for family, ramp in RAMPS.items() for stop, value in zip(stops, ramp.split(), strict=True)]
+    return spark.createDataFrame([*rows, ("white", "#ffffff"), ("black", "#000000"), ("transparent", None)], "name string, value string")
+
+
+def named_colours(tokens: DataFrame) -> DataFrame:
+    """(theme, name, rgb) of all names that a class can paint with: the tokens (theme, name, value) that the style sheets declare, then the palette
+    in every theme (H20). A token hides a palette colour of its name, even where its own value can't be resolved."""
+    basic = tokens.select("theme").distinct().crossJoin(palette(tokens.sparkSession)).join(tokens.select("theme", "name"), ["theme", "name"], "left_anti")
+    return tokens.select("theme", "name", "value").unionByName(basic.select("theme", "name", "value")).select("theme", "name", C.parse(F.col("value")).alias("rgb"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -139,3 +139,26 @@ def clarifications(messages: DataFrame, signals: list[tuple[str, str]], required
     seen = F.array_compact(F.array(*(F.when(F.col("_b").rlike(rx), F.lit(k)) for k, rx in signals)))
     lacks = F.array_compact(F.array(*(F.when(~F.col("_b").rlike(rx), F.lit(k)) for k, rx in required)))
     return own.select("id", seen.alias("signals"), lacks.alias("missing")).withColumn("blocked", F.array_contains("signals", asks) & (F.size("missing") > 0))
+
+
+def archived(path: Column, fronts: tuple[str, ...] = (), inside: tuple[str, ...] = ("/_arquivo/", "/archive/")) -> Column:
+    """Whether a path is archaeology, where not even links need to lead anywhere."""
+    own = F.translate(path, "\\", "/")
+    tests = [own.startswith(f) for f in fronts] + [own.contains(t) for t in inside]
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def historical(path: Column, **kw) -> Column:
+    """Whether a path is a dated record, in which old names are legitimate but links must hold."""
+    own = F.translate(path, "\\", "/")
+    return archived(path, **kw) | own.rlike(r"^docs/(adr|auditorias|qa-evidence)/") | own.rlike(r"(^|/)log\.md$")
+
+
+def checked_extension(path: Column, extensions: tuple[str, ...]) -> Column:
+    """Whether a file's extension is looked at; .snyk has none of its own but is."""
+    base = F.element_at(F.split(path, "/"), -1)
+    suffix = F.regexp_extract(base, r"^.+(\.[^.]*)$", 1)
+    return base.endswith(".snyk") | suffix.isin(*extensions)

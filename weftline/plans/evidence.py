@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
 from functools import reduce
@@ -382,3 +383,88 @@ def worst_overflow(rects: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """(page, element, over): the element that exceeds its page's width most, if by more than the tolerance."""
     own = rects.withColumn("over", F.col("right") - F.col("width")).where(F.col("over") > tolerance)
     return first_by(own, ["page"], F.desc("over"), F.col("element")).select("page", "element", "over")
+
+
+def run_faults(run: str, phase: str, batch: str | None) -> list[str]:
+    """What is wrong with a run's names (F30): the run's form, the phase, the batch's form, and a batch where the phase needs one."""
+    faults = []
+    if not re.fullmatch(r"tokenize-[a-zA-Z0-9._-]+", run or ""):
+        faults.append("run")
+    if phase not in ("global-before", "before", "after", "final"):
+        faults.append("phase")
+    if batch and not re.fullmatch(r"B[0-9]{4,}", batch):
+        faults.append("batch")
+    if phase in ("before", "after") and not batch:
+        faults.append("no-batch")
+    return faults
+
+
+def list_faults(values: Column) -> Column:
+    """Why a list isn't one of different, trimmed, non-blank texts (H03, H08): null where it is."""
+    bad = F.exists(values, lambda x: x.isNull() | (x == "") | (F.trim(x) != x))
+    return F.when(values.isNull() | (F.size(values) == 0), "empty").when(bad, "blank-or-untrimmed").when(F.size(F.array_distinct(values)) < F.size(values), "repeated")
+
+
+def build_manifest(captures: DataFrame, expected: DataFrame, run: dict) -> tuple[dict, DataFrame]:
+    """A manifest's head and its captures in the order of their ids (R16, H12, K03). captures: (scenarioId, pngPath, png binary, metaPath, meta
+    binary, the signals, overflow); expected: (id); run: runId, batchId, phase, generatedAt and the seven fingerprints.
+
+    Names out of form, missing fingerprints, captures with faults or unreadable images, and coverage that isn't exact are errors.
+    """
+    if faults := run_faults(run.get("runId"), run.get("phase"), run.get("batchId")):
+        raise ContractError(f"the run's names are wrong: {faults}")
+    if not bound(run):
+        raise ContractError("a fingerprint is no whole digest")
+    sides = expected.select(F.lit("expected").alias("side"), F.col("id").cast("string").alias("id")).union(captures.select(F.lit("produced"), "scenarioId"))
+    covered = coverage(sides).first().asDict(recursive=True)
+    if not covered["exact"]:
+        raise ContractError(f"coverage isn't exact: {covered}")
+    valid = F.arrow_udf(lambda xs: pa.array([x.as_py() is not None and decode_png(x.as_py()) is not None for x in xs]), "boolean")
+    faults = capture_faults(captures).select("scenarioId", "fault").union(captures.where(~valid("png")).select("scenarioId", F.lit("unreadable-image")))
+    if wrong := [tuple(r) for r in faults.limit(20).collect()]:
+        raise ContractError(f"captures have faults: {wrong}")
+    number = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+    rows = captures.select("scenarioId", "pngPath", F.length("png").cast("bigint").alias("bytes"), number(17).alias("width"), number(21).alias("height"), F.sha2("png", 256).alias("sha256"), "metaPath", F.sha2("meta", 256).alias("metaSha256"), *_SIGNALS, "overflow").orderBy("scenarioId")
+    ids = [r["scenarioId"] for r in rows.select("scenarioId").collect()]
+    digest = hashlib.sha256(canonical_json(json.dumps(sorted(ids))).encode()).hexdigest()
+    return run | {"artifactType": "evidence-manifest", "schemaVersion": "2.0.0", "matrixFingerprint": digest, "requestedScenarioIds": sorted(ids), "producedScenarioIds": sorted(ids), "coverage": covered, "exactCoverage": True}, rows
+
+
+def schema_faults(document: object, schema: dict, at: str = "") -> list[str]:
+    """Where a document isn't what a closed schema says (X24): type, required, properties without others, items, enum, pattern, least and most."""
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
+    wanted = schema.get("type")
+    wanted = [wanted] if isinstance(wanted, str) else wanted
+    fits = lambda k: isinstance(document, kinds[k]) and not (k in ("integer", "number") and isinstance(document, bool))
+    if wanted and not any(map(fits, wanted)):
+        return [f"{at or '/'}: not {' or '.join(wanted)}"]
+    faults = []
+    if "enum" in schema and document not in schema["enum"]:
+        faults.append(f"{at or '/'}: not one of {schema['enum']}")
+    if isinstance(document, dict):
+        own = schema.get("properties", {})
+        faults += [f"{at}/{k}: missing" for k in schema.get("required", ()) if k not in document]
+        if schema.get("additionalProperties") is False:
+            faults += [f"{at}/{k}: unexpected" for k in sorted(set(document) - set(own))]
+        for k in sorted(set(own) & set(document)):
+            faults += schema_faults(document[k], own[k], f"{at}/{k}")
+    elif isinstance(document, list):
+        if len(document) < schema.get("minItems", 0):
+            faults.append(f"{at or '/'}: fewer than {schema['minItems']}")
+        for i, x in enumerate(document):
+            faults += schema_faults(x, schema.get("items", {}), f"{at}/{i}")
+    elif isinstance(document, str):
+        if "pattern" in schema and not re.search(schema["pattern"], document):
+            faults.append(f"{at or '/'}: pattern")
+        if len(document) < schema.get("minLength", 0):
+            faults.append(f"{at or '/'}: too short")
+    elif isinstance(document, (int, float)) and not isinstance(document, bool) and document < schema.get("minimum", document):
+        faults.append(f"{at or '/'}: too small")
+    return faults
+
+
+def with_snapshot(routes: DataFrame, projects: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, project) for which an image has been committed (F33); those without are skipped, never written. files: (file) named
+    <name>-<project>-<system>."""
+    grid = routes.select("name").crossJoin(projects.select("project")).withColumn("stem", F.concat(F.translate("name", "_", "-"), F.lit("-"), "project", F.lit("-")))
+    return grid.join(files.select("file"), F.expr("startswith(file, stem)"), "left_semi").select("name", "project")

@@ -238,3 +238,67 @@ def tree(nodes: DataFrame) -> DataFrame:
     """Routes of a nested tree, merged by pattern (G06, A11). nodes: (node, parent, path, module, modules, guards)."""
     down = inherited(nodes.select("node", "parent", "path", "modules", "guards"))
     return merged(down.join(nodes.select("node", "module"), "node").select(F.col("node").alias("ord"), "pattern", "module", "modules", "guards"))
+
+
+def scenarios(contexts: DataFrame, readiness: DataFrame, transports: DataFrame, errors: DataFrame) -> DataFrame:
+    """A scenario for each context (J16): its id, route, what shows that it is ready, reads that are sent as writes, and the error that is
+    expected to show. readiness: (pattern, witness, assertion); transports: (pattern, method, path); errors: (pattern, selector)."""
+    reads = transports.groupBy("pattern").agg(F.array_sort(F.collect_set(F.struct("method", "path"))).alias("reads"))
+    own = contexts.join(readiness, "pattern", "left").join(reads, "pattern", "left").join(errors, "pattern", "left")
+    none = F.array().cast("array<struct<method: string, path: string>>")
+    return own.select(F.concat("name", F.lit("/default")).alias("scenarioId"), F.col("path").alias("route"), "pattern", "params", "fixture", "role", "witness", F.array_compact(F.array(F.lit("loaded"), F.col("assertion"))).alias("assertions"), F.coalesce("reads", none).alias("reads"), F.col("selector").alias("expectedError"), F.lit("preserve").alias("expectedVisualEffect"), F.lit(True).alias("readOnly"))
+
+
+def registry_counts(contexts: DataFrame, skips: DataFrame, routes: DataFrame) -> DataFrame:
+    """One row of counters (A16): declared, materialised, skipped, without a fixture, out of scope on purpose; whether fixtures are complete and
+    the declarations exactly covered."""
+    gaps = F.count_if(F.col("reason") == "missing-read-only-fixture")
+    own = skips.agg(F.count("*").alias("skipped"), gaps.alias("gaps"))
+    faults = declared(contexts, skips, routes).agg(F.count("*").alias("faults"))
+    every = routes.agg(F.count("*").alias("declared")).crossJoin(contexts.agg(F.count("*").alias("materialised"))).crossJoin(own).crossJoin(faults)
+    return every.select("declared", "materialised", "skipped", "gaps", (F.col("skipped") - F.col("gaps")).alias("out_of_scope"), (F.col("gaps") == 0).alias("fixtures_complete"), (F.col("faults") == 0).alias("exact"))
+
+
+def affected(routes: DataFrame, edges: DataFrame, changed: DataFrame, unresolved: DataFrame, files: DataFrame, fixtures: DataFrame, **kw) -> dict[str, DataFrame]:
+    """What a change set touches (G08): the changed files' report, affected routes, their contexts and skips, and one row that says
+    whether all of it is known. routes also have ``guards``."""
+    report, hit = analyse(routes, edges, changed, unresolved, files, **kw)
+    own = routes.join(hit.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "guards")
+    contexts, skips = registry(own, fixtures)
+    counts = registry_counts(contexts, skips, own)
+    done = complete(report, routes, unresolved)
+    whole = done.crossJoin(counts.select("fixtures_complete", "exact")).withColumn("coverage_complete", F.col("complete") & F.col("exact") & F.col("fixtures_complete"))
+    return {"report": report, "routes": hit, "contexts": contexts, "skips": skips, "outcome": whole}
+
+
+def element_modules(elements: DataFrame, imports: DataFrame, *, guards: str = "(Guard|Required|Protected|Only)$") -> DataFrame:
+    """(node, modules, guards, unresolved) of routes' element expressions (P31). elements: (node, expression); imports: (local, specifier).
+
+    Capitalised tags and identifiers of an expression are components: those whose name is a guard's protect the others, those
+    that aren't imported are unresolved.
+    """
+    names = F.array_distinct(F.regexp_extract_all("expression", F.lit(r"(?:<|\{|\(|,|^)\s*([A-Z][A-Za-z0-9_$]*)"), F.lit(1)))
+    each = elements.select("node", F.explode_outer(names).alias("local")).join(imports, "local", "left")
+    guard = F.col("local").rlike(guards)
+    lists = lambda c, v: F.array_sort(F.array_distinct(F.collect_list(F.when(c, v))))
+    return each.groupBy("node").agg(lists(~guard & F.col("specifier").isNotNull(), F.col("specifier")).alias("modules"), lists(guard, F.col("local")).alias("guards"), lists(F.col("specifier").isNull() & F.col("local").isNotNull() & ~guard, F.col("local")).alias("unresolved"))
+
+
+def portable(path: Column, root: str) -> Column:
+    """A path below a root as it is written elsewhere: relative, with forward slashes; others as they are."""
+    own = F.translate(path, "\\", "/")
+    front = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(own.startswith(front), F.substring(own, len(front) + 1, 1 << 20)).otherwise(own)
+
+
+def matching_fixtures(requests: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """requests (id, method, url_path) with the status of the registered response for just that path, whatever its query."""
+    answers = fixtures.select(F.explode("responses").alias("r")).select(F.col("r.method").alias("method"), F.col("r.path").alias("bare"), F.col("r.status").alias("status")).distinct()
+    return requests.withColumn("bare", F.element_at(F.split("url_path", r"\?", 2), 1)).join(answers, ["method", "bare"], "left").drop("bare")
+
+
+def foreign_fixtures(contexts: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """(name, fixture) of contexts whose checked-in fixture belongs to another pattern, or to none."""
+    own = fixtures.where("source = 'checked-in'").select("pattern", "fixture")
+    versioned = contexts.where("kind = 'dynamic'").select("name", "pattern", "fixture")
+    return versioned.join(fixtures.where("source != 'checked-in'").select("pattern", "fixture"), ["pattern", "fixture"], "left_anti").join(own, ["pattern", "fixture"], "left_anti").select("name", "fixture")

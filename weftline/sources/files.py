@@ -208,3 +208,25 @@ def captures(files: DataFrame) -> DataFrame:
     meta = files.where(F.col("path").endswith(".meta.json")).select(F.regexp_replace("path", r"\.meta\.json$", "").alias("stem"), F.col("path").alias("meta_path"))
     both = png.join(meta, "stem", "full")
     return both.withColumn("status", F.when(F.col("meta_path").isNull(), "missing-metadata").when(F.col("png_path").isNull(), "orphan").otherwise("ok"))
+
+
+FIXTURES = "schemaVersion string, readOnly boolean, fixtures array<struct<id: string, routePattern: string, routeParams: map<string,string>, contractSources: array<string>, responses: array<struct<method: string, path: string, status: int, body: string>>>>"
+
+
+def fixture_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(id, routePattern, routeParams, contractSources, responses) of a network-fixture registry (S25); it must be read-only and hold its rules."""
+    from weftline.plans.routes import fixture_faults
+
+    document = json_document(spark, path, FIXTURES)
+    rows = document.select(F.explode("fixtures").alias("f")).select("f.*")
+    head = document.agg(F.bool_and(F.coalesce("readOnly", F.lit(False))).alias("safe")).first()
+    wrong = [tuple(r) for r in fixture_faults(rows).limit(20).collect()]
+    if not head["safe"] or wrong:
+        raise ValueError(f"the fixtures can't be used: read-only {head['safe']}, {wrong}")
+    return rows
+
+
+def valid_flows(files: DataFrame) -> DataFrame:
+    """(path, id, name) of flow files (path, text) with an id of letters, digits, dots, dashes and underscores, a name, and steps."""
+    own = files.select("path", F.from_json("text", "id string, name string, steps array<string>").alias("f"))
+    return own.where(F.col("f.id").rlike("^[A-Za-z0-9._-]+$") & (F.trim("f.name") != "") & F.col("f.steps").isNotNull()).select("path", "f.id", "f.name")
