@@ -2,7 +2,7 @@
 
 P(grade <= k) = logistic(threshold_k - w.x): one weight vector w over hashed text features, shared by all grades, and
 ordered thresholds. Features of a text are the presence of each word (lower case, outer punctuation off), hashed to
-``WORDS`` slots; for each shape of token (letters to x, runs of capitals to X, digits to 9) its share of the tokens,
+``WORDS`` slots; the presence of each stem (the first ``STEM`` letters of longer words), hashed to ``STEMS``; for each shape of token (letters to x, runs of capitals to X, digits to 9) its share of the tokens,
 hashed to ``SHAPES`` slots; and the share of tokens that repeat the one before. Weights are fitted with Adagrad and an
 L1 penalty, which leaves most of them 0.
 
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks, utf8
 
-WORDS, SHAPES = 1 << 18, 1 << 10
-#: Slots: words, shapes, and one for repeats.
-SLOTS = WORDS + SHAPES + 1
+WORDS, STEMS, SHAPES, STEM = 1 << 18, 1 << 16, 1 << 10, 4
+#: Slots: words, stems, shapes, and one for repeats.
+SLOTS = WORDS + STEMS + SHAPES + 1
 _LETTERS, _DIGITS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 _OUTER = ".,;:!?\"'()[]{}#$%&*|-_/"
 _SHARE = 10.0
@@ -38,12 +38,13 @@ _MEMORY = 200_000
 
 
 class _Slots(dict):
-    """Token -> (1 + slot of its word, or 0) * SHAPES + number of its shape."""
+    """Token -> its stem's slot, its word's and its shape's in one number; 0 stands for no stem and for no word."""
 
     def __missing__(self, token: str) -> int:
         word = token.strip(_OUTER).lower()
         shape = _RUN.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub(lambda m: "X" if len(m[0]) > 1 and m[0].isupper() else "x", token)))
-        slots = (1 + xxhash.xxh3_64_intdigest(word) % WORDS if word else 0) * SHAPES + xxhash.xxh3_64_intdigest(shape) % SHAPES
+        stem = 1 + xxhash.xxh3_64_intdigest(word[:STEM]) % STEMS if len(word) > STEM else 0
+        slots = (stem * (WORDS + 1) + (1 + xxhash.xxh3_64_intdigest(word) % WORDS if word else 0)) * SHAPES + xxhash.xxh3_64_intdigest(shape) % SHAPES
         if len(self) < _MEMORY:
             self[token] = slots
         return slots
@@ -59,13 +60,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0)
     packed = np.fromiter(map(_slots.__getitem__, tokens), dtype=np.int64, count=n)
-    words = np.unique(packed // SHAPES) - 1
-    words = words[words >= 0]
+    pairs = np.unique(packed // SHAPES)
+    words, stems = np.unique(pairs % (WORDS + 1)) - 1, np.unique(pairs // (WORDS + 1)) - 1
+    present = np.concatenate([words[words >= 0], WORDS + stems[stems >= 0]])
     count = np.bincount(packed % SHAPES)
     shapes = np.flatnonzero(count)
     count = count[shapes]
     repeats = sum(map(str.__eq__, tokens, tokens[1:]))
-    return np.concatenate([words, WORDS + shapes, [WORDS + SHAPES]]), np.concatenate([np.ones(len(words)), _SHARE * count / n, [_SHARE * repeats / n]])
+    return np.concatenate([present, WORDS + STEMS + shapes, [SLOTS - 1]]), np.concatenate([np.ones(len(present)), _SHARE * count / n, [_SHARE * repeats / n]])
 
 
 @dataclass
@@ -148,13 +150,13 @@ def tails_column(spark, model: OrdinalModel, text: Column) -> Column:
     return F.arrow_udf(tails, "array<double>")(text)
 
 
-def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, cut: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, cut: float = 0.85) -> DataFrame:
     """(doc_id, expected_grade, p_top, keep) of every document: the expected grade, P(grade >= at_least), and whether
     that reaches ``cut``. Map only: no shuffle."""
     scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tails_column(docs.sparkSession, model, utf8(text_col)).alias("tails"))
     return scored.select("doc_id", F.aggregate("tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), F.element_at("tails", at_least).alias("p_top"), (F.element_at("tails", at_least) >= cut).alias("keep"))
 
 
-def select(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", at_least: int = 2, cut: float = 0.7) -> DataFrame:
+def select(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", at_least: int = 2, cut: float = 0.85) -> DataFrame:
     """The documents, with all their columns, for which P(grade >= at_least) reaches ``cut``."""
     return docs.where(F.element_at(tails_column(docs.sparkSession, model, utf8(text_col)), at_least) >= cut)
