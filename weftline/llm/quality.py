@@ -87,11 +87,13 @@ class OrdinalModel:
         return out
 
 
-def fit(texts: list[str | None], grades: list[int], *, penalty: float = 1e-4, rounds: int = 600, rate: float = 0.3) -> OrdinalModel:
-    """Fit weights and thresholds by full-batch proximal Adagrad on the log-likelihood."""
+def fit(texts: list[str | None], grades: list[int], *, penalty: float | None = None, rounds: int = 600, rate: float = 0.3) -> OrdinalModel:
+    """Fit weights and thresholds by full-batch proximal Adagrad on the log-likelihood. The penalty is 1e-4 by default, more for under
+    3,000 ratings, as few tell less."""
     if not len(texts):
         raise ValueError("no graded documents to fit on")
     y = np.asarray(grades, dtype=np.int64)
+    penalty = max(1e-4, 0.3 / len(y)) if penalty is None else penalty
     top = max(1, int(y.max()))
     found = [features(t) for t in texts]
     rows = np.repeat(np.arange(len(found)), [len(s) for s, _ in found])
@@ -150,13 +152,13 @@ def tails_column(spark, model: OrdinalModel, text: Column) -> Column:
     return F.arrow_udf(tails, "array<double>")(text)
 
 
-def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, cut: float = 0.85) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, cut: float = 0.75) -> DataFrame:
     """(doc_id, expected_grade, p_top, keep) of every document: the expected grade, P(grade >= at_least), and whether
     that reaches ``cut``. Map only: no shuffle."""
     scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tails_column(docs.sparkSession, model, utf8(text_col)).alias("tails"))
     return scored.select("doc_id", F.aggregate("tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), F.element_at("tails", at_least).alias("p_top"), (F.element_at("tails", at_least) >= cut).alias("keep"))
 
 
-def select(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", at_least: int = 2, cut: float = 0.85) -> DataFrame:
+def select(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", at_least: int = 2, cut: float = 0.75) -> DataFrame:
     """The documents, with all their columns, for which P(grade >= at_least) reaches ``cut``."""
     return docs.where(F.element_at(tails_column(docs.sparkSession, model, utf8(text_col)), at_least) >= cut)
