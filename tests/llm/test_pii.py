@@ -48,3 +48,9 @@ def test_frame(spark, odd, none):
     assert got == want and len(got) == 4
     assert pii.find(none).count() == 0 and pii.find(odd).count() == 0
     assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()][1] == "mail <email> x <card>"
+
+
+def test_numbers_that_touch_stay_apart():
+    """A phone number right before an address or a card is found, and so are they."""
+    text = "call +1 (826) 555-4081 190.137.223.204 or +1 (843) 555-7672 4111111111111111, +44 20 7946 0958 10.0.0.1."
+    assert [(k, text[a:b]) for k, a, b, _, _ in pii.spans(text)] == [("phone", "+1 (826) 555-4081"), ("ipv4", "190.137.223.204"), ("phone", "+1 (843) 555-7672"), ("card", "4111111111111111"), ("phone", "+44 20 7946 0958"), ("ipv4", "10.0.0.1")]

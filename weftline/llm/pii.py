@@ -82,7 +82,7 @@ KINDS = (
     Kind("card", re.compile(r"(?<![\dA-Za-z])(?<!\d[.-])\d(?:[ -]?\d){12,18}(?![\d])"), 0.25, luhn, 0.4, _words("card credit visa mastercard amex pay payment karte kreditkarte carte tarjeta"), _NOT),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.3, mod97, 0.6, _words("iban account bank konto compte cuenta transfer"), _NOT),
     Kind("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0.3, _social, 0.25, _words("ssn social security tax identity"), _NOT),
-    Kind("phone", re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\d])|(?<![\w+.])\+\d{1,3}(?:[ .-]\d{2,5}){2,5}(?!\d)|(?<![\w+.])\+\d{9,14}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"), 0.45, _digits(9, 15), 0.2, _words("phone call tel telephone telefon mobile fax whatsapp teléfono téléphone handy"), _NOT),
+    Kind("phone", re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d|\.\d)|(?<![\w+.])\+\d{1,3}(?:[ .-]\d{2,5}){2,5}(?!\d|\.\d)|(?<![\w+.])\+\d{9,14}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"), 0.45, _digits(9, 15), 0.2, _words("phone call tel telephone telefon mobile fax whatsapp teléfono téléphone handy"), _NOT),
     Kind("ipv4", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"), 0.4, _octets, 0.2, _words("ip address host server login client"), _words("version release build section chapter")),
     Kind("secret", re.compile(r"(?i)\b(?:api[_-]?key|secret(?:[_-]?key)?|access[_-]?token|auth[_-]?token|token|passw(?:or)?d|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8,}[\"']?|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0.8, None, 0, _words("key secret credential login"), needs=re.compile(r"[=:]|AKIA|gh[pousr]_|-----BEGIN")),
 )
