@@ -20,13 +20,23 @@ def _ready(spark: SparkSession) -> None:
 
 def reach(edges: DataFrame, starts: DataFrame, *, src: str = "src", dst: str = "dst", most: int = 1000) -> DataFrame:
     """(node, hops): everything reachable from the starts (a frame of ``node``) with the least number of hops, starts at 0."""
+    return _spread(edges, starts.select("node"), ["node"], src, dst, most)
+
+
+def reach_each(edges: DataFrame, starts: DataFrame, *, src: str = "src", dst: str = "dst", most: int = 1000) -> DataFrame:
+    """(start, node, hops): as ``reach``, for each start by itself; all starts spread in the same rounds."""
+    return _spread(edges, starts.select(F.col("node").alias("start"), "node"), ["start", "node"], src, dst, most)
+
+
+def _spread(edges: DataFrame, starts: DataFrame, keys: list[str], src: str, dst: str, most: int) -> DataFrame:
     spark = edges.sparkSession
     _ready(spark)
     own = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct().checkpoint()
-    seen = starts.select("node", F.lit(0).alias("hops")).where("node is not null").distinct().checkpoint()
+    seen = starts.where("node is not null").distinct().select(*keys, F.lit(0).alias("hops")).checkpoint()
     front = seen
     for hop in range(1, most + 1):
-        front = front.join(own, front["node"] == own["s"]).select(F.col("d").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")).checkpoint()
+        step = front.join(own, front["node"] == own["s"]).select(*keys[:-1], F.col("d").alias("node")).distinct()
+        front = step.join(seen, keys, "left_anti").select(*keys, F.lit(hop).alias("hops")).checkpoint()
         if front.isEmpty():
             return seen
         seen = seen.unionAll(front)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import blank_comments
-from weftline.operators.graphs import impact, inherited, reach, reverse
+from weftline.operators.graphs import impact, inherited, reach_each, reverse
 from weftline.operators.sets import declared, first_by
 
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".css", ".scss", ".sass", ".less", ".json")
@@ -154,14 +154,8 @@ def analyse(routes: DataFrame, edges: DataFrame, changed: DataFrame, unresolved:
     status = F.when(F.col("there").isNull(), "deleted").when(~F.col("file").rlike(_DESIGN), "unsupported").when(F.size("reasons") > 0, "global").otherwise("local")
     own = own.withColumn("status", status).drop("there")
     modules = routes.select("pattern", F.explode("modules").alias("node"))
-    parts = None
-    for row in own.where("status = 'local'").select("file").collect():
-        # One search for each changed file; a change set is a short list.
-        near = reach(reverse(edges), edges.sparkSession.createDataFrame([(row["file"],)], "node string"))
-        hit = modules.join(near, "node").groupBy("pattern").agg(F.min("hops").alias("hops")).withColumn("file", F.lit(row["file"]))
-        parts = hit if parts is None else parts.unionByName(hit)
-    if parts is None:
-        parts = edges.sparkSession.createDataFrame([], "pattern string, hops int, file string")
+    near = reach_each(reverse(edges), own.where("status = 'local'").select(F.col("file").alias("node"))).withColumnRenamed("start", "file")
+    parts = modules.join(near, "node").groupBy("file", "pattern").agg(F.min("hops").alias("hops"))
     listed = parts.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("hops", "pattern"))), lambda x: x["pattern"]).alias("routes"))
     every = routes.agg(F.array_sort(F.collect_set("pattern")).alias("all"))
     report = own.join(listed, "file", "left").crossJoin(every)
