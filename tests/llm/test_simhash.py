@@ -63,7 +63,7 @@ def test_partition_thresholds_find_every_near_value():
         assert sum(x + 1 for x in t) >= 12
         how = simhash.Plan(parts, t)
         met = np.zeros(len(a), bool)
-        mine, theirs = list(how.keys(a)), list(how.keys(c))
+        mine, theirs = ([k | np.int64(i << 56) for i in how.used for k in how.keys(x, i)] for x in (a, c))
         for x in mine:
             for y in theirs:
                 met |= x == y

@@ -44,10 +44,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Whether Spark drops a query's shuffle files when the query has ended.
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; its files go when nothing refers to them any more."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint; its files go when nothing refers to them any more. The shuffle files that led
+    to it aren't needed afterwards and go at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    had = spark.conf.get(_DROP, "false")
+    spark.conf.set(_DROP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_DROP, had)
 
 
 def utf8(text: Column | str) -> Column:

@@ -20,6 +20,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,15 +111,18 @@ class Plan:
     parts: tuple[tuple[int, ...], ...]
     thresholds: tuple[int, ...]
 
-    def keys(self, a: np.ndarray) -> Iterator[np.ndarray]:
-        """The keys under which the signatures meet others: an array for each partition and each flip of its bits."""
-        for i, (bits, t) in enumerate(zip(self.parts, self.thresholds, strict=True)):
-            if t < 0:
-                continue
-            own = values(a, bits)
-            flips = [sum(1 << k for k in c) for r in range(-(-t // 2) + 1) for c in itertools.combinations(range(len(bits)), r)]
-            for f in flips:
-                yield (own ^ np.int64(f)) | np.int64(i << 56)
+    @property
+    def used(self) -> list[int]:
+        """The partitions that are probed."""
+        return [i for i, t in enumerate(self.thresholds) if t >= 0]
+
+    def keys(self, a: np.ndarray, i: int) -> Iterator[np.ndarray]:
+        """The keys under which the signatures meet others in partition i: an array for each flip of its bits."""
+        bits, t = self.parts[i], self.thresholds[i]
+        own = values(a, bits)
+        for r in range(-(-t // 2) + 1):
+            for c in itertools.combinations(range(len(bits)), r):
+                yield own ^ np.int64(sum(1 << k for k in c))
 
 
 def values(a: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
@@ -262,14 +266,18 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def links(sigs: DataFrame, how: Plan, tau: int = TAU, both: int = TAU_BOTH) -> DataFrame:
-    """(a1, b1, a2, b2): edges that connect all near signatures; of each task's a spanning forest, not all pairs."""
+    """(a1, b1, a2, b2): edges that connect all near signatures; of each task's a spanning forest, not all pairs.
+
+    Partitions are probed one after the other, and the probes of one go before those of the next are made, so that the
+    disks hold one partition's at a time.
+    """
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], i: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 own = batch.slice(start, 4096)
                 a, b = own.column(0), own.column(1)
-                for key in how.keys(a.to_numpy().view(np.uint64)):
+                for key in how.keys(a.to_numpy().view(np.uint64), i):
                     yield pa.RecordBatch.from_arrays([pa.array(key), a, b], ["k", "a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +300,11 @@ def links(sigs: DataFrame, how: Plan, tau: int = TAU, both: int = TAU_BOTH) -> D
         pair = pair.view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[k, c])) for k in (child, root[child]) for c in (0, 1)], ["a1", "b1", "a2", "b2"])
 
-    return sigs.select("a", "b").mapInArrow(probe, "k bigint, a bigint, b bigint").repartition("k").mapInArrow(meet, "a1 bigint, b1 bigint, a2 bigint, b2 bigint").distinct()
+    found = []
+    for i in how.used:
+        probes = sigs.select("a", "b").mapInArrow(partial(probe, i=i), "k bigint, a bigint, b bigint")
+        found.append(cut(probes.repartition("k").mapInArrow(meet, "a1 bigint, b1 bigint, a2 bigint, b2 bigint").distinct()))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, tau_both: int = TAU_BOTH) -> DataFrame:
