@@ -50,7 +50,7 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, text: Column, id_key: Column, *, digest_of=digest, files_per_batch: int) -> DataFrame:
-    """Digests that came more than once, as ``wl_key``."""
+    """Digests that came more than once, as the 64-bit keys of ``_key``."""
     spark = docs.sparkSession
     at, held = scratch(spark, "digests"), scratch(spark, "dedup-state")
     try:
@@ -58,12 +58,18 @@ def _repeated(docs: DataFrame, text: Column, id_key: Column, *, digest_of=digest
         written = spark.read.parquet(at)
         stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files_per_batch).parquet(at)
         update_state(stream, held)
-        return cut(read_state(spark, held).where("times > 1").select(F.col("digest").alias("wl_key")))
+        return cut(read_state(spark, held).where("times > 1").select(F.xxhash64("digest").alias("wl_key")).distinct())
     finally:
         remove(spark, at)
         remove(spark, held)
 
 
+def _key(digest: Column) -> Column:
+    """Eight bytes of a digest, null for null. Only rows whose keys repeat are compared, by their full texts, so that two digests with one key
+    cost a comparison and change no result."""
+    return F.when(digest.isNotNull(), F.xxhash64(digest))
+
+
 def _locator(docs: DataFrame) -> Column:
     """File and row of each document where the frame reads files, else null."""
     where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
@@ -79,7 +85,7 @@ def _ranked(rows: DataFrame, id_col: str, text_col: str, digest_of, hits: DataFr
     text, key = utf8(field(text_col)), field(id_col).cast("bigint")
     # The window groups by the text itself: all bytes are compared, not the digests.
     same = Window.partitionBy(text).orderBy(key.asc_nulls_last())
-    return only(rows, digest_of(text), hits).withColumn("wl_place", F.row_number().over(same)).withColumn("wl_owner", F.first(key).over(same))
+    return only(rows, _key(digest_of(text)), hits).withColumn("wl_place", F.row_number().over(same)).withColumn("wl_owner", F.first(key).over(same))
 
 
 def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_of=digest, files_per_batch: int = 10_000) -> DataFrame:
@@ -94,4 +100,4 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     hits = _repeated(docs, utf8(text_col), F.col(id_col).cast("bigint"), digest_of=digest_of, files_per_batch=files_per_batch)
     rows = boxed(docs)
     inside = _ranked(rows, id_col, text_col, digest_of, hits).where("wl_place = 1").select("wl_row")
-    return without(rows, digest_of(utf8(field(text_col))), hits).unionByName(inside).select("wl_row.*")
+    return without(rows, _key(digest_of(utf8(field(text_col)))), hits).unionByName(inside).select("wl_row.*")

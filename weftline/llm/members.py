@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys up to which they are sent to the executors (about 32 bytes each there); more are joined by a shuffle.
+#: 64-bit keys up to which they are sent to the executors (about 32 bytes each there); more are joined by a shuffle.
 SEND = 4_000_000
 
 
