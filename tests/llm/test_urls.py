@@ -70,3 +70,9 @@ def test_false_positive_rate():
     level.add(a[:20_000], b[:20_000])
     assert level.claims(a[:20_000], b[:20_000]).all()
     assert abs(level.claims(a[20_000:], b[20_000:]).mean() - 0.06) < 0.025
+
+
+def test_entries_are_brought_into_the_pages_form(spark):
+    pages = spark.createDataFrame(list(enumerate(["http://example.com/Page?ID=7", "https://www.example.com:8080/Dir/#x", "http://a.host.org/x", "http://other.org/deep/er", "http://other.org/", "http://www.w.net/1", "http://w.net/1", "http://fine.org/Page?ID=7"])), "page_id bigint, url string")
+    listed = spark.createDataFrame([(k,) for k in ("example.com/Page?ID=7", "HTTPS://me@www.Example.com:443/dir/", "http://host.org:80/", "other.org/Deep", "www.w.net", " ", "://")], "key string")
+    assert {r["page_id"] for r in urls.blocked(pages, listed).where("blocked").collect()} == {0, 1, 2, 5}

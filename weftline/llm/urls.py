@@ -37,9 +37,20 @@ def host(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host without www., path and query: no scheme, user, port, fragment or final slash."""
-    rest = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+([^#\s]*)", 1)
-    return F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(rest, "/$", ""))
+    """Host without www., path and query, in lower case: no scheme, user, port, fragment or final slash."""
+    return F.concat(F.regexp_replace(host(url), r"^www\.", ""), _rest(url))
+
+
+def _rest(url: Column) -> Column:
+    rest = F.regexp_extract(F.lower(url), r"^\s*[a-z][a-z0-9+.-]*://[^/?#\s]+([^#\s]*)", 1)
+    return F.regexp_replace(rest, "/$", "")
+
+
+def entry_key(entry: Column) -> Column:
+    """The key that an entry of a list stands for: its host where it has no path or query, else its canonical URL."""
+    entry = F.trim(entry)
+    url = F.when(entry.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), entry).otherwise(F.concat(F.lit("http://"), entry))
+    return F.when(_rest(url) == "", host(url)).otherwise(canonical(url))
 
 
 def keys(url: Column) -> Column:
@@ -170,11 +181,12 @@ def build(universe: DataFrame) -> Cascade | None:
 def blocked(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", key_col: str = "key") -> DataFrame:
     """(page_id, url, host, blocked) of every page: whether one of its keys is in the list.
 
-    listed: hosts, domains (which cover their subdomains) or canonical URLs, in any case.
+    listed: hosts, domains (which cover their subdomains) or URLs, in any case, with or without scheme, port and final slash.
+    A URL without path and query stands for its host.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumn("keys", keys(F.col("url")))
     every = rows.select(F.explode("keys").alias("key")).distinct()
-    entries = listed.select(F.lower(F.trim(F.col(key_col).cast("string"))).alias("key")).where("key is not null").distinct().withColumn("listed", F.lit(True))
+    entries = listed.select(entry_key(F.col(key_col).cast("string")).alias("key")).where("key is not null").distinct().withColumn("listed", F.lit(True))
     h1, h2 = _hashes(F.col("key"))
     universe = cut(every.join(entries, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), F.coalesce("listed", F.lit(False)).alias("listed")))
     cascade = build(universe)
