@@ -94,3 +94,12 @@ def test_odd_cases(spark, odd, none):
     assert brown.score(none, empty).count() == 0
     (p,), (n,) = empty.log_probs([words(1, 3)])
     assert n == 3 and np.isfinite(p)
+
+
+def test_words_seen_twice_have_their_own_probability_in_any_corpus(spark):
+    docs = spark.createDataFrame([(i, "one two three four five " * 4000) for i in range(20)] + [(20, "twice once twice thrice thrice thrice")], "doc_id bigint, text string")
+    model = brown.train(docs, classes=4, rounds=1)
+    assert set(model.lexicon.words) == {"one", "two", "three", "four", "five", "twice", "thrice"}
+    two, three = (model.lexicon[w] for w in ("twice", "thrice"))
+    if model.classes[two] == model.classes[three]:
+        assert model.log_emission[three] - model.log_emission[two] == pytest.approx(math.log(1.5))

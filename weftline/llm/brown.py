@@ -2,13 +2,14 @@
 
 Words are assigned to classes by exchange clustering: each word moves to the class that raises the likelihood of the
 corpus under P(word | previous) = P(class | previous class) * P(word | class) most. Words move in groups: those of one
-group are tried in parallel against the counts that the classes had before, and a round that lowers the likelihood
-is undone and ends the search. Transitions are smoothed towards the class's own frequency, and emissions leave one
+group are tried in parallel against the counts that the classes had before, and moves that lower the likelihood are undone and end the
+search. Transitions are smoothed towards the class's own frequency, and emissions leave one
 count for unseen words, so every text has a finite perplexity.
 
-All words and bigrams of all documents are counted. Words below a share ``common`` of the corpus's tokens don't move: their
-class is a hash of their last two letters, and they share its probability evenly among its different words. There are
-thus 1 / common movable words at most, whatever the corpus is.
+All words and bigrams of all documents are counted. Every word that occurs ``least`` = 2 times moves and has a probability of
+its own. Words that occur once don't move: their class is a hash of their last two letters, and they share its probability
+evenly, as their counts are equal. The words, their classes and probabilities lie in files that the executors map into memory;
+the driver holds some 30 bytes a word, and a step of the exchange sends one byte a word.
 
 A word is a run of characters without white space, lower case, outer punctuation off; pure punctuation is a word.
 
@@ -18,14 +19,22 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import atexit
+import itertools
+import os
+import shutil
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks, cut, remove, scratch, utf8
@@ -36,6 +45,12 @@ _MEMORY = 200_000
 #: Different words, and bigrams, that a task holds before it passes its counts on.
 _FLUSH = 300_000
 _BIGRAMS = 4_000_000
+#: Words that the driver holds on their way to the lexicon's file.
+_PART = 500_000
+#: Counts up to which a move's gains are looked up.
+_SMALL = 31
+#: The exchange ends when a round over all groups gains less than this, in nats a token.
+TOLERANCE = 1e-3
 
 
 def normal(token: str) -> str:
@@ -47,24 +62,111 @@ def rare_class(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word[-2:]) % RARE
 
 
+@dataclass
+class Shared:
+    """A file that every executor has a copy of and maps into memory, so that its workers share one and hold none. It stays until
+    the session ends, as the frames that read it may be run at any time."""
+
+    path: str
+
+    @classmethod
+    def new(cls, name: str) -> Shared:
+        return cls(os.path.join(_folder(), f"{name}-{uuid.uuid4().hex}"))
+
+    def send(self, spark: SparkSession) -> None:
+        spark.sparkContext.addFile(self.path)
+
+    def array(self, dtype: type, n: int, at: int = 0) -> np.ndarray:
+        path = self.path if os.path.exists(self.path) else SparkFiles.get(os.path.basename(self.path))
+        return np.asarray(np.memmap(path, dtype, "r", at, (n,))) if n else np.zeros(0, dtype)
+
+
+@cache
+def _folder() -> str:
+    base = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, base, True)
+    return base
+
+
+class Words(Mapping):
+    """Word -> place among the movable words, which lie in a file in the order of their hashes. Equal hashes are told apart by the words."""
+
+    def __init__(self, file: Shared, n: int, size: int):
+        self.file, self.n, self.size = file, n, size
+        self.hashes, self.ends = file.array(np.int64, n), file.array(np.int64, n + 1, 8 * n)
+        self.blob = file.array(np.uint8, size, 8 * (2 * n + 1))
+
+    def __reduce__(self):
+        return Words, (self.file, self.n, self.size)
+
+    @classmethod
+    def of(cls, known: DataFrame) -> tuple[Words, np.ndarray]:
+        """The words of (word, n) and their counts. They pass the driver ``_PART`` at a time on their way to the file."""
+        spark, file, n = known.sparkSession, Shared.new("words"), known.count()
+        parts = max(1, -(-n // _PART))
+        placed = known.select("word", "n", F.xxhash64("word").alias("h")).withColumn("part", F.expr(f"((shiftright(h, 40) + {1 << 23}) * {parts}) div {1 << 24}"))
+        counts, k, size = np.zeros(n, np.int64), 0, 0
+        with open(file.path, "wb") as out:
+            out.seek(8 * n)
+            out.write(bytes(8))
+            for part in range(parts):
+                t = placed.where(F.col("part") == part).select("word", "h", "n").toArrow().sort_by([("h", "ascending"), ("word", "ascending")])
+                raw = [w.encode() for w in t.column("word").to_pylist()]
+                ends = size + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+                for at, data in ((8 * k, t.column("h").to_numpy().tobytes()), (8 * (n + 1 + k), ends.tobytes()), (8 * (2 * n + 1) + size, b"".join(raw))):
+                    out.seek(at)
+                    out.write(data)
+                counts[k : k + len(raw)] = t.column("n").to_numpy()
+                k, size = k + len(raw), int(ends[-1]) if len(raw) else size
+        file.send(spark)
+        return cls(file, n, size), counts
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word, -1 for others."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
+        at = np.searchsorted(self.hashes, h)
+        out = np.full(len(raw), -1, np.int64)
+        for i in np.flatnonzero(self.hashes[np.minimum(at, self.n - 1)] == h) if self.n else ():
+            p = int(at[i])
+            while p < self.n and self.hashes[p] == h[i]:
+                if self.blob[self.ends[p] : self.ends[p + 1]].tobytes() == raw[i]:
+                    out[i] = p
+                    break
+                p += 1
+        return out
+
+    def __getitem__(self, word: str) -> int:
+        p = int(self.places([word])[0])
+        if p < 0:
+            raise KeyError(word)
+        return p
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.blob[self.ends[p] : self.ends[p + 1]].tobytes().decode() for p in range(self.n))
+
+    def __len__(self) -> int:
+        return self.n
+
+
 class Lexicon(dict):
-    """Token -> code: the rank of a movable word, or their number plus the rare class."""
+    """Token -> code: the place of a movable word, or their number plus the rare class."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: Words):
         super().__init__()
-        self.words = {w: i for i, w in enumerate(words)}
+        self.words = words
 
     def __reduce__(self):
-        return Lexicon, (list(self.words),)
+        return Lexicon, (self.words,)
+
+    def learn(self, tokens: list[str]) -> None:
+        words = [normal(t) for t in tokens]
+        places = self.words.places(words)
+        self.update((t, p if p >= 0 else len(self.words) + rare_class(w)) for t, w, p in zip(tokens, words, places.tolist(), strict=True))
 
     def __missing__(self, token: str) -> int:
-        word = normal(token)
-        code = self.words.get(word)
-        if code is None:
-            code = len(self.words) + rare_class(word)
-        if len(self) < _MEMORY:
-            self[token] = code
-        return code
+        self.learn([token])
+        return self[token]
 
     @property
     def start(self) -> int:
@@ -74,12 +176,17 @@ class Lexicon(dict):
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' codes, each text after ``start``; and where those stand."""
         every = [(t or "").split() for t in texts]
+        new = list({w for own in every for w in own if w not in self})
+        self.learn(new)
         n = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
         at = np.cumsum(n + 1) - n - 1
         out = np.full(int(n.sum()) + len(every), self.start, dtype=np.int64)
         inside = np.ones(len(out), dtype=bool)
         inside[at] = False
         out[inside] = np.fromiter((self[w] for own in every for w in own), dtype=np.int64, count=int(n.sum()))
+        if len(self) > _MEMORY:
+            for w in new:
+                del self[w]
         return out, at
 
 
@@ -135,9 +242,10 @@ def bigram_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     return texts.mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _contexts(bigrams: DataFrame) -> DataFrame:
-    """(w, after, n_after, before, n_before): for each code the codes after and before it, with counts."""
-    both = bigrams.select(F.col("a").alias("w"), F.col("b").alias("o"), "n", F.lit(True).alias("after")).union(bigrams.select("b", "a", "n", F.lit(False)))
+def _contexts(bigrams: DataFrame, words: int, groups: int) -> DataFrame:
+    """(w, after, n_after, before, n_before, turn): for each code the codes after and before it, with counts, and its group; others
+    than words are in a group of their own."""
+    both = bigrams.select(F.col("a").alias("w"), F.col("b").alias("o"), "n", F.lit(True).alias("after")).union(bigrams.where(F.col("b") < words).select("b", "a", "n", F.lit(False)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had = [tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)) for batch in batches]
@@ -147,42 +255,66 @@ def _contexts(bigrams: DataFrame) -> DataFrame:
         del had
         order = np.lexsort((o, after, w))
         w, o, n, after = w[order], o[order], n[order], after[order]
-        words, first = np.unique(w, return_index=True)
-        for start in range(0, len(words), 500):
-            rows = []
-            for i in range(start, min(start + 500, len(words))):
-                lo, hi = first[i], first[i + 1] if i + 1 < len(words) else len(w)
-                mid = lo + int(np.searchsorted(after[lo:hi], True))
-                rows.append((o[mid:hi], n[mid:hi], o[lo:mid], n[lo:mid]))
-            yield pa.RecordBatch.from_arrays([pa.array(words[start : start + 500]), *(pa.array([r[k] for r in rows], pa.list_(pa.int32() if k % 2 == 0 else pa.int64())) for k in range(4))], ["w", "after", "n_after", "before", "n_before"])
+        codes, first = np.unique(w, return_index=True)
+        first = np.append(first, len(w))
+        # In a word's rows those before it come first.
+        mid = first[:-1] + np.add.reduceat((~after).astype(np.int64), first[:-1])
+        # A multiplicative hash spreads the words over the groups.
+        turn = np.where(codes < words, (codes.astype(np.int64) * 2654435761 >> 7) % groups, groups).astype(np.int32)
+        for start in range(0, len(codes), 500):
+            lo, hi, cut_ = (x[start : start + 500] for x in (first[:-1], first[1:], mid))
+            lists = []
+            for begin, end in ((cut_, hi), (lo, cut_)):
+                size = end - begin
+                flat = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+                ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(ends, pa.array(o[flat])), pa.ListArray.from_arrays(ends, pa.array(n[flat]))]
+            yield pa.RecordBatch.from_arrays([pa.array(codes[start : start + 500]), *lists, pa.array(turn[start : start + 500])], ["w", "after", "n_after", "before", "n_before", "turn"])
 
-    return both.repartition("w").mapInArrow(gather, "w int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>")
+    return both.repartition("w").mapInArrow(gather, _CONTEXTS)
 
 
-def _lists(batch: pa.RecordBatch, k: int, i: int) -> np.ndarray:
-    column = batch.column(k)
-    lo, hi = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
-    return column.values.to_numpy()[lo:hi]
+_CONTEXTS = "w int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>, turn int"
+
+
+def _lists(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lists in columns k and k + 1: the row of each item, the item and its count."""
+    codes, n = batch.column(k), batch.column(k + 1)
+    return np.repeat(np.arange(len(codes)), np.diff(codes.offsets.to_numpy())), codes.flatten().to_numpy(), n.flatten().to_numpy()
 
 
 def _flog(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
-    """How often each class follows each class."""
-    sent = contexts.sparkSession.sparkContext.broadcast(classes)
+def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int, tried: np.ndarray | None = None) -> np.ndarray:
+    """How often each class follows each class. With ``tried``, how that changes if codes of these contexts have other classes then."""
+    sent = contexts.sparkSession.sparkContext.broadcast((classes, tried))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        total = np.zeros((size, size))
+        own, then = sent.value
+        total = np.zeros(size * size)
         for batch in batches:
-            for i, w in enumerate(batch.column(0).to_numpy().tolist()):
-                total[own[w]] += np.bincount(own[_lists(batch, 1, i)], weights=_lists(batch, 2, i), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["x"])
+            if then is not None:
+                w = batch.column(0).to_numpy()
+                batch = batch.filter(pa.array(own[w] != then[w]))
+            w = batch.column(0).to_numpy()
+            row, o, n = _lists(batch, 1)
+            a = w[row]
+            total += np.bincount((own if then is None else then)[a].astype(np.int64) * size + (own if then is None else then)[o], weights=n, minlength=size * size)
+            if then is not None:
+                total -= np.bincount(own[a].astype(np.int64) * size + own[o], weights=n, minlength=size * size)
+                # A pair of two that move counts once, with its first word.
+                row, o, n = _lists(batch, 3)
+                stays = own[o] == then[o]
+                b, o, n = w[row][stays], o[stays], n[stays]
+                total += np.bincount(own[o].astype(np.int64) * size + then[b], weights=n, minlength=size * size)
+                total -= np.bincount(own[o].astype(np.int64) * size + own[b], weights=n, minlength=size * size)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["x"])
 
     # One small matrix from each task, whose sum is taken on the executors.
-    parts = contexts.select("w", "after", "n_after").mapInArrow(add, "x array<double>").select(F.posexplode("x").alias("i", "x")).where("x > 0").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    parts = contexts.select("w", "after", "n_after", "before", "n_before").mapInArrow(add, "x array<double>").select(F.posexplode("x").alias("i", "x")).where("x != 0").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    sent.destroy()
     out = np.zeros(size * size)
     out[parts.column("i").to_numpy()] = parts.column("x").to_numpy()
     return out.reshape(size, size)
@@ -193,80 +325,123 @@ def likelihood(n: np.ndarray) -> float:
     return float(_flog(n).sum() - _flog(n.sum(1)).sum() - _flog(n.sum(0)).sum())
 
 
-def best_class(n: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, loop: float, movable: int) -> tuple[int, float]:
-    """The class among the first ``movable`` to which a word of class ``own`` moves best, and what that gains.
+def _small(m: np.ndarray) -> np.ndarray:
+    """[l, a, c]: what adding l <= _SMALL to the cell m[a, c] gains."""
+    return _flog(m + np.arange(_SMALL + 1)[:, None, None]) - _flog(m)
+
 
-    n: class bigrams; after, before: the word's counts with each class, those with itself (loop) included.
+def best_classes(n: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, loop: np.ndarray, movable: int, small: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of classes ``own`` the class among the first ``movable`` to which it moves best, and what that gains.
+
+    n: class bigrams; after, before: the words' counts with each class, those with themselves (loop) included;
+    small: ``_small`` of the cells before and after.
     """
-    n = n.copy()
+    every = np.arange(len(own))
     left, right = after.copy(), before.copy()
-    left[own] -= loop
-    right[own] -= loop
-    n[own] -= left
-    n[:, own] -= right
-    n[own, own] -= loop
-    rows, cols = n.sum(1), n.sum(0)
-    c = np.arange(movable)
-    la, lb = np.flatnonzero(left), np.flatnonzero(right)
-    gain = (_flog(n[:movable, la] + left[la]) - _flog(n[:movable, la])).sum(1)
-    gain += (_flog(n[lb][:, :movable] + right[lb, None]) - _flog(n[lb][:, :movable])).sum(0)
+    left[every, own] -= loop
+    right[every, own] -= loop
+    gain = np.zeros((len(own), movable))
+    # The word's counts are taken out of its class's row and column; then those that it adds elsewhere are put in.
+    for m, known, x, other in ((n[:movable].T, small[0], left, right), (n[:, :movable], small[1], right, left)):
+        i, a = np.nonzero(x)
+        if not len(i):
+            continue
+        by, mine = x[i, a], own[i]
+        same = a == mine
+        easy = (by <= _SMALL) & ~same
+        part = np.empty((len(i), movable))
+        part[easy] = known[by[easy].astype(np.int64), a[easy]]
+        base = m[a[~easy]] - other[i[~easy], :movable] * same[~easy, None]
+        part[~easy] = _flog(base + by[~easy, None]) - _flog(base)
+        base = m[a, mine] - by - same * (other[i, mine] + loop[i])
+        part[np.arange(len(i)), mine] = _flog(base + by) - _flog(base)
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        gain[i[first]] += np.add.reduceat(part, first)
     # The cell (c, c) changes by both and by the loop at once.
-    cell = n[c, c]
-    gain += _flog(cell + left[c] + right[c] + loop) - _flog(cell + left[c]) - _flog(cell + right[c]) + _flog(cell)
-    out, into = left.sum() + loop, right.sum() + loop
-    gain -= _flog(rows[:movable] + out) - _flog(rows[:movable]) + _flog(cols[:movable] + into) - _flog(cols[:movable])
-    k = int(np.argmax(gain))
-    return k, float(gain[k] - gain[own])
+    i, c = np.nonzero(((left[:, :movable] > 0) & (right[:, :movable] > 0)) | (loop[:, None] > 0))
+    by, into, twice = left[i, c], right[i, c], loop[i]
+    cell = n[c, c] - (c == own[i]) * (by + into + twice)
+    gain[i, c] += _flog(cell + by + into + twice) - _flog(cell + by) - _flog(cell + into) + _flog(cell)
+    for sums, x in ((n.sum(1), left), (n.sum(0), right)):
+        more = x.sum(1) + loop
+        base = np.repeat(sums[None, :movable], len(own), 0)
+        base[every, own] -= more
+        gain -= _flog(base + more[:, None]) - _flog(base)
+    to = gain.argmax(1)
+    return to, gain[every, to] - gain[every, own]
+
+
+def best_class(n: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, loop: float, movable: int) -> tuple[int, float]:
+    """``best_classes`` of one word."""
+    to, gain = best_classes(n, np.array([own]), after[None].astype(float), before[None].astype(float), np.array([loop]), movable, (_small(n[:movable].T), _small(n[:, :movable])))
+    return int(to[0]), float(gain[0])
 
 
-def exchange(contexts: DataFrame, words: int, k: int, rounds: int, groups: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Classes of all codes, the class bigrams, and the likelihood after each step."""
-    spark = contexts.sparkSession
+def exchange(contexts: DataFrame, counts: np.ndarray, k: int, rounds: int | None, groups: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all codes, the class bigrams, and the likelihood after each step. counts: of the words."""
+    spark, words = contexts.sparkSession, len(counts)
     size = k + RARE + 1
-    classes = np.concatenate([np.arange(words) % k, k + np.arange(RARE + 1)]).astype(np.int64)
+    classes = np.concatenate([np.zeros(words), k + np.arange(RARE + 1)]).astype(np.min_scalar_type(size))
+    classes[np.argsort(-counts, kind="stable")] = np.arange(words) % k
     n = class_bigrams(contexts, classes, size)
-    trace = [likelihood(n)]
-    for step in range(rounds * groups):
-        sent, turn = spark.sparkContext.broadcast((classes, n)), step % groups
-
-        def move(batches: Iterator[pa.RecordBatch], sent=sent, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own, counts = sent.value
-            for batch in batches:
-                moved = []
-                for i, w in enumerate(batch.column(0).to_numpy().tolist()):
-                    # A multiplicative hash spreads the frequent words over the groups.
-                    if w >= words or (w * 2654435761 >> 7) % groups != turn:
-                        continue
-                    o, m, p, q = (_lists(batch, j, i) for j in (1, 2, 3, 4))
-                    after = np.bincount(own[o], weights=m, minlength=size)
-                    before = np.bincount(own[p], weights=q, minlength=size)
-                    to, gain = best_class(counts, int(own[w]), after, before, float(m[o == w].sum()), k)
-                    if gain > 1e-6 and to != own[w]:
-                        moved.append((w, to))
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in moved], pa.int32()), pa.array([m[1] for m in moved], pa.int32())], ["w", "c"])
-
-        moves = contexts.mapInArrow(move, "w int, c int").toArrow()
-        tried = classes.copy()
-        tried[moves.column("w").to_numpy()] = moves.column("c").to_numpy()
-        now = class_bigrams(contexts, tried, size)
-        sent.unpersist()
-        if likelihood(now) < trace[-1]:
+    trace, least = [likelihood(n)], tolerance * n.sum()
+    for done in itertools.count():
+        if done == rounds:
+            break
+        before = trace[-1]
+        for turn in range(groups):
+            own = contexts.where(F.col("turn") == turn).drop("turn")
+            sent = spark.sparkContext.broadcast((classes, n))
+
+            def move(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                own, counts = sent.value
+                small = _small(counts[:k].T), _small(counts[:, :k])
+                for whole in batches:
+                    for start in range(0, len(whole), 500):
+                        batch = whole.slice(start, 500)
+                        w = batch.column(0).to_numpy()
+                        sums = []
+                        for j in (1, 3):
+                            row, o, m = _lists(batch, j)
+                            sums.append(np.bincount(row * size + own[o], weights=m, minlength=len(w) * size).reshape(-1, size))
+                            loop = np.bincount(row, weights=m * (o == w[row]), minlength=len(w))
+                        now = own[w].astype(np.int64)
+                        to, gain = best_classes(counts, now, *sums, loop, k, small)
+                        moved = (gain > 1e-6) & (to != now)
+                        yield pa.RecordBatch.from_arrays([pa.array(w[moved]), pa.array(to[moved].astype(np.int32)), pa.array(gain[moved])], ["w", "c", "gain"])
+
+            moves = own.mapInArrow(move, "w int, c int, gain double").toArrow().sort_by([("gain", "descending"), ("w", "ascending")])
+            sent.destroy()
+            w, c = moves.column("w").to_numpy(), moves.column("c").to_numpy()
+            if len(w):
+                tried = classes.copy()
+                tried[w] = c
+                now = n + class_bigrams(own, classes, size, tried)
+                if likelihood(now) < trace[-1]:
+                    return classes, n, trace
+                classes, n = tried, now
+                trace.append(likelihood(n))
+        if trace[-1] - before <= least:
             break
-        classes, n = tried, now
-        trace.append(likelihood(n))
     return classes, n, trace
 
 
 @dataclass
 class BrownModel:
-    """log_transition[previous class, class], log_emission[code], class of each code."""
+    """log_transition[previous class, class], log_emission[code], class of each code; what there is by code lies in a file."""
 
     lexicon: Lexicon
-    classes: np.ndarray
+    file: Shared
     log_transition: np.ndarray
-    log_emission: np.ndarray
     trace: list[float]
 
+    def __post_init__(self):
+        n = self.lexicon.start + 1
+        self.log_emission, self.classes = self.file.array(np.float64, n), self.file.array(np.uint8, n, 8 * n)
+
+    def __reduce__(self):
+        return BrownModel, (self.lexicon, self.file, self.log_transition, self.trace)
+
     def log_probs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The log-probability and number of words of each text."""
         codes, at = self.lexicon.codes(texts)
@@ -277,7 +452,7 @@ class BrownModel:
         return np.add.reduceat(p, at), np.diff(np.append(at, len(codes))) - 1
 
 
-def smoothed(lexicon: Lexicon, counts: np.ndarray, rare_types: np.ndarray, classes: np.ndarray, n: np.ndarray, prior: float) -> BrownModel:
+def smoothed(spark: SparkSession, lexicon: Lexicon, counts: np.ndarray, rare_types: np.ndarray, classes: np.ndarray, n: np.ndarray, prior: float) -> BrownModel:
     """Probabilities from the counts of codes, the different words of each rare class, and the class bigrams."""
     size = len(n)
     base = (n.sum(0) + 1) / (n.sum() + size)
@@ -287,17 +462,26 @@ def smoothed(lexicon: Lexicon, counts: np.ndarray, rare_types: np.ndarray, class
     emission = np.ones(len(classes))
     emission[:words] = counts[:words] / np.maximum(totals[classes[:words]], 1)
     emission[words : words + RARE] = 1 / (rare_types + 1)
-    return BrownModel(lexicon, classes, np.log(transition), np.log(np.maximum(emission, 1e-300)), [])
-
-
-def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, common: float = 1e-5, rounds: int = 2, groups: int = 4, prior: float = 50.0) -> BrownModel:
-    """Count all documents, cluster the movable words, and smooth."""
+    file = Shared.new("emissions")
+    with open(file.path, "wb") as out:
+        np.log(np.maximum(emission, 1e-300)).tofile(out)
+        classes.astype(np.uint8).tofile(out)
+    file.send(spark)
+    return BrownModel(lexicon, file, np.log(transition), [])
+
+
+def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least: int = 2, common: float = 0.0, rounds: int | None = 2, groups: int = 4, tolerance: float = TOLERANCE, prior: float = 50.0) -> BrownModel:
+    """Count all documents, cluster the movable words, and smooth. classes: 223 at most. common: words below this share of the
+    tokens don't move either; rounds: stop after so many."""
+    if classes + RARE + 1 > 256:
+        raise ValueError("a class is held in a byte")
     spark = docs.sparkSession
     texts = docs.select(utf8(text_col).alias("text")).where("text is not null")
     words = cut(word_counts(texts))
     total = words.agg(F.sum("n")).first()[0] or 0
-    frequent = [(r["word"], r["n"]) for r in words.where(F.col("n") >= max(2.0, common * total)).orderBy(F.desc("n"), "word").collect()]
-    lexicon = Lexicon([w for w, _ in frequent])
+    bound = max(float(least), common * total)
+    own, counts = Words.of(words.where(F.col("n") >= bound))
+    lexicon, known = Lexicon(own), len(own)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, count = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
@@ -308,18 +492,18 @@ def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, common:
                 count[c] += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(types), pa.array(count)], ["c", "types", "n"])
 
-    others = words.where(F.col("n") < max(2.0, common * total)).mapInArrow(rare, "c bigint, types bigint, n bigint").groupBy("c").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).toArrow()
-    types, counts = np.zeros(RARE), np.zeros(len(frequent) + RARE + 1)
-    counts[: len(frequent)] = [n for _, n in frequent]
+    others = words.where(F.col("n") < bound).mapInArrow(rare, "c bigint, types bigint, n bigint").groupBy("c").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).toArrow()
+    types, every = np.zeros(RARE), np.zeros(known + RARE + 1)
+    every[:known] = counts
     types[others.column("c").to_numpy()] = others.column("types").to_numpy()
-    counts[len(frequent) + others.column("c").to_numpy()] = others.column("n").to_numpy()
+    every[known + others.column("c").to_numpy()] = others.column("n").to_numpy()
     at = scratch(spark, "contexts")
     try:
-        _contexts(bigram_counts(texts, lexicon)).write.parquet(at)
-        own, n, trace = exchange(spark.read.parquet(at), len(frequent), classes, rounds, groups)
+        _contexts(bigram_counts(texts, lexicon), known, groups).write.partitionBy("turn").parquet(at)
+        own, n, trace = exchange(spark.read.schema(_CONTEXTS).parquet(at), counts, classes, rounds, groups, tolerance)
     finally:
         remove(spark, at)
-    model = smoothed(lexicon, counts, types, own, n, prior)
+    model = smoothed(spark, lexicon, every, types, own, n, prior)
     model.trace = trace
     return model
 
