@@ -103,3 +103,18 @@ def test_words_seen_twice_have_their_own_probability_in_any_corpus(spark):
     two, three = (model.lexicon[w] for w in ("twice", "thrice"))
     if model.classes[two] == model.classes[three]:
         assert model.log_emission[three] - model.log_emission[two] == pytest.approx(math.log(1.5))
+
+
+def test_exchange_goes_on_until_no_word_gains(spark):
+    """With all words in one group, moves that lose together are halved, and the search ends where no single move gains."""
+    own = texts()
+    model = brown.train(spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string"), classes=6, groups=1, tolerance=0.0)
+    code = model.lexicon
+    pairs = Counter(p for t in own for p in itertools.pairwise([code.start, *(code[w] for w in t.split())]))
+    base = slow_likelihood(pairs, model.classes)
+    assert model.trace == sorted(model.trace) and model.trace[-1] == pytest.approx(base)
+    for w in range(len(code.words)):
+        for c in range(6):
+            tried = model.classes.copy()
+            tried[w] = c
+            assert slow_likelihood(pairs, tried) <= base + 1e-5

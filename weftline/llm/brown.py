@@ -2,8 +2,9 @@
 
 Words are assigned to classes by exchange clustering: each word moves to the class that raises the likelihood of the
 corpus under P(word | previous) = P(class | previous class) * P(word | class) most. Words move in groups: those of one
-group are tried in parallel against the counts that the classes had before, and moves that lower the likelihood are undone and end the
-search. Transitions are smoothed towards the class's own frequency, and emissions leave one
+group are tried in parallel against the counts that the classes had before. Where a group's moves lower the likelihood
+together, the better half of them is tried instead, and so on; then the next group's turn comes. The search ends when a round
+over all groups moves nothing or gains less than ``TOLERANCE`` a token. Transitions are smoothed towards the class's own frequency, and emissions leave one
 count for unseen words, so every text has a finite perplexity.
 
 All words and bigrams of all documents are counted. Every word that occurs ``least`` = 2 times moves and has a probability of
@@ -413,14 +414,16 @@ def exchange(contexts: DataFrame, counts: np.ndarray, k: int, rounds: int | None
             moves = own.mapInArrow(move, "w int, c int, gain double").toArrow().sort_by([("gain", "descending"), ("w", "ascending")])
             sent.destroy()
             w, c = moves.column("w").to_numpy(), moves.column("c").to_numpy()
-            if len(w):
+            # The moves of a group don't know of each other. Where they lose together, the better half is tried; one alone gains.
+            while len(w):
                 tried = classes.copy()
                 tried[w] = c
                 now = n + class_bigrams(own, classes, size, tried)
-                if likelihood(now) < trace[-1]:
-                    return classes, n, trace
-                classes, n = tried, now
-                trace.append(likelihood(n))
+                if likelihood(now) > trace[-1]:
+                    classes, n = tried, now
+                    trace.append(likelihood(n))
+                    break
+                w, c = w[: len(w) // 2], c[: len(w) // 2]
         if trace[-1] - before <= least:
             break
     return classes, n, trace
@@ -470,9 +473,9 @@ def smoothed(spark: SparkSession, lexicon: Lexicon, counts: np.ndarray, rare_typ
     return BrownModel(lexicon, file, np.log(transition), [])
 
 
-def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least: int = 2, common: float = 0.0, rounds: int | None = 2, groups: int = 4, tolerance: float = TOLERANCE, prior: float = 50.0) -> BrownModel:
+def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least: int = 2, common: float = 0.0, rounds: int | None = None, groups: int = 4, tolerance: float = TOLERANCE, prior: float = 50.0) -> BrownModel:
     """Count all documents, cluster the movable words, and smooth. classes: 223 at most. common: words below this share of the
-    tokens don't move either; rounds: stop after so many."""
+    tokens don't move either; rounds: stop after so many, even if the classes haven't settled. Neither is set by default."""
     if classes + RARE + 1 > 256:
         raise ValueError("a class is held in a byte")
     spark = docs.sparkSession
@@ -499,7 +502,7 @@ def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least:
     every[known + others.column("c").to_numpy()] = others.column("n").to_numpy()
     at = scratch(spark, "contexts")
     try:
-        _contexts(bigram_counts(texts, lexicon), known, groups).write.partitionBy("turn").parquet(at)
+        _contexts(cut(bigram_counts(texts, lexicon)), known, groups).write.partitionBy("turn").parquet(at)
         own, n, trace = exchange(spark.read.schema(_CONTEXTS).parquet(at), counts, classes, rounds, groups, tolerance)
     finally:
         remove(spark, at)
