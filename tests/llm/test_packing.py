@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -58,16 +59,15 @@ def sequential(totals, targets, window):
     return out
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(40))
 def test_schedule_is_near_a_sequential_round_robin(seed):
     r = random.Random(seed)
     totals = {f"s{k}": r.randint(1, 9000) for k in range(r.randint(1, 6))}
     targets = {s: r.random() + 0.05 for s in totals}
     schedule = packing.Schedule(totals, targets, 100)
     own = np.zeros((schedule.windows, len(schedule.sources)), dtype=int)
-    for k, s in enumerate(schedule.sources):
-        row, w, a, b = schedule.cuts(k, np.array([0]), np.array([totals[s]]))
-        np.add.at(own[:, k], w, b - a)
+    w, k, _, _, n = schedule.slots(0, schedule.windows)
+    own[w, k] = n
     want = sequential(totals, targets, 100)
     assert len(want) == schedule.windows
     assert (own.sum(1)[:-1] == 100).all() and own.sum(0).tolist() == [totals[s] for s in schedule.sources]
@@ -75,12 +75,52 @@ def test_schedule_is_near_a_sequential_round_robin(seed):
     assert np.abs(np.cumsum(own, 0) - np.cumsum(slow, 0)).max() <= 4 + len(totals)
 
 
-def test_cycle_leaves_no_deficit():
-    for w in ([1.0], [1, 1, 1], [5, 3, 0.001], [0.7] * 30):
-        t = packing.cycle(np.array(w, float), 50)
-        assert (t >= 0).all() and (t.sum(0) == 50).all()
-        due = np.array(w) / sum(w) * 50 * packing.CYCLE
-        assert np.abs(t.sum(1) - due).max() < 1
+def test_ranges_of_windows_continue_each_other():
+    """However the windows are cut into ranges, the slots are the same; every window is full and no queue is served backwards."""
+    for seed in range(30):
+        r = random.Random(seed)
+        totals = {f"s{k}": int(10 ** r.uniform(0, 4)) for k in range(r.randint(1, 40))}
+        targets = {s: r.choice([0, 1e-7, r.random(), 10 * r.random()]) for s in totals}
+        window = r.choice([1, 7, 50, 512])
+        schedule = packing.Schedule(totals, targets, window)
+        whole = np.stack(schedule.slots(0, schedule.windows), 1)
+        cuts = sorted({0, schedule.windows, *(r.randrange(schedule.windows + 1) for _ in range(4))})
+        assert (np.concatenate([np.stack(schedule.slots(a, b), 1) for a, b in itertools.pairwise(cuts)]) == whole).all()
+        full = np.bincount(whole[:, 0], whole[:, 4])
+        assert (full[:-1] == window).all() and (whole[:, 4] > 0).all()
+        for k in range(len(schedule.sources)):
+            own = whole[whole[:, 1] == k]
+            assert (own[:, 3] == np.cumsum(own[:, 4]) - own[:, 4]).all() and own[:, 4].sum() == totals[schedule.sources[k]]
+
+
+def test_small_targets_are_paid_all_along():
+    """A source whose share of a window is far below a token still gets its part by any window."""
+    totals = {"big": 4_000_000, "small": 400}
+    share = 1e-4
+    schedule = packing.Schedule(totals, {"big": 1 - share, "small": share}, 100)
+    w, k, _, _, n = schedule.slots(0, schedule.windows)
+    small = np.cumsum(np.bincount(w[k == 1], n[k == 1], minlength=schedule.windows))
+    due = np.minimum(400, share * 100 * np.arange(1, schedule.windows + 1))
+    assert np.abs(small - due).max() < 2
+
+
+def test_thousands_of_sources(spark):
+    """5,000 sources of different sizes, one of them with a third of all tokens."""
+    totals = {f"s{k:04d}": 20 + k % 37 for k in range(5000)} | {"hot": 90_000}
+    schedule = packing.Schedule(totals, packing.tempered(totals, 0.7), 2048)
+    edges = schedule.served(np.arange(schedule.windows + 1))
+    n = np.diff(edges, axis=0)
+    assert (n >= 0).all() and (n.sum(1)[:-1] == 2048).all() and edges[-1].tolist() == [totals[s] for s in schedule.sources]
+    rows = [(i, words(i, 20 + i % 9), f"d{i % 1000}" if i % 3 else "hot") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    check(packing.pack(docs, window=512).collect(), [(i, len(t.split())) for i, t, _ in rows], 512)
+
+
+def test_long_documents_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    rows = [(i, words(i, 3000 if i == 5 else i % 40 + 1), "ab"[i % 2]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    check(packing.pack(docs, window=32).collect(), [(i, len(t.split())) for i, t, _ in rows], 32)
 
 
 def test_many_buckets_continue_each_other(spark, monkeypatch):
