@@ -66,23 +66,28 @@ def utf8(text: Column | str) -> Column:
     return (F.col(text) if isinstance(text, str) else text).cast("string")
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of about ``most`` characters each, in order; a longer text makes a chunk of its own."""
+def slices(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_CHARS) -> Iterator[pa.Array]:
+    """The texts in parts of about ``most`` bytes each, in order; a longer text makes a part of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    n = len(texts)
-    if not n:
-        return
     sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
-    start = 0
+    start, n = 0, len(texts)
     while start < n:
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield start, texts.slice(start, stop - start).to_pylist()
+        yield texts.slice(start, stop - start)
         start = stop
 
 
+def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of the ``slices``."""
+    start = 0
+    for own in slices(texts, most):
+        yield start, own.to_pylist()
+        start += len(own)
+
+
 def codes(text: str) -> np.ndarray:
     """The code points of a text."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
