@@ -59,3 +59,18 @@ def test_locators_of_files(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "t"))
     where = [r[0] for r in got.select(exact._locator(got)).collect()]
     assert where[0].endswith("#0") and where[1].endswith("#1") and ".parquet" in where[0]
+
+
+def test_one_text_a_hundred_thousand_times(spark):
+    """No task sees all copies: those of a task are combined before they are sent."""
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, F.repeat(F.lit("boilerplate "), 50)).otherwise(F.col("id").cast("string")).alias("text"), F.lit(1).alias("wl_key"))
+    got = exact.duplicates(docs)
+    assert got.count() == 89_999 and {r["duplicate_of"] for r in got.select("duplicate_of").distinct().collect()} == {1}
+    kept = exact.first_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 10_001
+
+
+def test_one_row_many_times(spark):
+    docs = spark.range(25_003).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    assert exact.duplicates(docs).groupBy("doc_id", "duplicate_of").count().collect() == [(7, 7, 25_002)]
+    assert exact.first_of_each(docs).count() == 1

@@ -19,17 +19,18 @@ def field(name: str) -> Column:
     return F.col("wl_row").getField(name)
 
 
-def _side(keys: DataFrame) -> DataFrame:
+def side(keys: DataFrame) -> DataFrame:
+    """The frame, sent to the executors if it has ``SEND`` rows at most."""
     return F.broadcast(keys) if keys.count() <= SEND else keys
 
 
 def only(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows whose key is in the one column ``wl_key`` of keys."""
-    keys = _side(keys)
+    keys = side(keys)
     return df.join(keys, key == keys["wl_key"], "left_semi")
 
 
 def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows whose key isn't among them; a null key isn't."""
-    keys = _side(keys)
+    keys = side(keys)
     return df.join(keys, key == keys["wl_key"], "left_anti")
