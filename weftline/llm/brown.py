@@ -9,7 +9,7 @@ count for unseen words, so every text has a finite perplexity.
 
 All words and bigrams of all documents are counted. Every word that occurs ``least`` = 2 times moves and has a probability of
 its own. Words that occur once don't move: their class is a hash of their last two letters, and they share its probability
-evenly, as their counts are equal. The words, their classes and probabilities lie in files that the executors map into memory;
+evenly, as their counts are equal. The words, their classes and probabilities lie in files of the shared folder that the executors map into memory;
 the driver holds some 30 bytes a word, and a step of the exchange sends one byte a word.
 
 A word is a run of characters without white space, lower case, outer punctuation off; pure punctuation is a word.
@@ -20,25 +20,19 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import os
-import shutil
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, cut, remove, scratch, utf8
+from weftline.llm.common import Shared, chunks, cut, remove, scratch, utf8
 
 RARE = 32
 _OUTER = ".,;:!?\"'()[]{}#$%&*|-_/"
@@ -63,64 +57,37 @@ def rare_class(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word[-2:]) % RARE
 
 
-@dataclass
-class Shared:
-    """A file that every executor has a copy of and maps into memory, so that its workers share one and hold none. It stays until
-    the session ends, as the frames that read it may be run at any time."""
-
-    path: str
-
-    @classmethod
-    def new(cls, name: str) -> Shared:
-        return cls(os.path.join(_folder(), f"{name}-{uuid.uuid4().hex}"))
-
-    def send(self, spark: SparkSession) -> None:
-        spark.sparkContext.addFile(self.path)
-
-    def array(self, dtype: type, n: int, at: int = 0) -> np.ndarray:
-        path = self.path if os.path.exists(self.path) else SparkFiles.get(os.path.basename(self.path))
-        return np.asarray(np.memmap(path, dtype, "r", at, (n,))) if n else np.zeros(0, dtype)
-
-
-@cache
-def _folder() -> str:
-    base = tempfile.mkdtemp(prefix="weftline-")
-    atexit.register(shutil.rmtree, base, True)
-    return base
-
-
 class Words(Mapping):
     """Word -> place among the movable words, which lie in a file in the order of their hashes. Equal hashes are told apart by the words."""
 
-    def __init__(self, file: Shared, n: int, size: int):
-        self.file, self.n, self.size = file, n, size
-        self.hashes, self.ends = file.array(np.int64, n), file.array(np.int64, n + 1, 8 * n)
-        self.blob = file.array(np.uint8, size, 8 * (2 * n + 1))
+    def __init__(self, hashes: Shared, ends: Shared, blob: Shared, n: int, size: int):
+        self.files, self.n, self.size = (hashes, ends, blob), n, size
+        self.hashes, self.ends, self.blob = hashes.array(np.int64, n), ends.array(np.int64, n + 1), blob.array(np.uint8, size)
 
     def __reduce__(self):
-        return Words, (self.file, self.n, self.size)
+        return Words, (*self.files, self.n, self.size)
 
     @classmethod
     def of(cls, known: DataFrame) -> tuple[Words, np.ndarray]:
-        """The words of (word, n) and their counts. They pass the driver ``_PART`` at a time on their way to the file."""
-        spark, file, n = known.sparkSession, Shared.new("words"), known.count()
+        """The words of (word, n) and their counts. They pass the driver ``_PART`` at a time on their way to the files."""
+        spark, n = known.sparkSession, known.count()
         parts = max(1, -(-n // _PART))
         placed = known.select("word", "n", F.xxhash64("word").alias("h")).withColumn("part", F.expr(f"((shiftright(h, 40) + {1 << 23}) * {parts}) div {1 << 24}"))
-        counts, k, size = np.zeros(n, np.int64), 0, 0
-        with open(file.path, "wb") as out:
-            out.seek(8 * n)
-            out.write(bytes(8))
+        hashes, sizes, counts = [], [], []
+
+        def blobs() -> Iterator[bytes]:
             for part in range(parts):
                 t = placed.where(F.col("part") == part).select("word", "h", "n").toArrow().sort_by([("h", "ascending"), ("word", "ascending")])
-                raw = [w.encode() for w in t.column("word").to_pylist()]
-                ends = size + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-                for at, data in ((8 * k, t.column("h").to_numpy().tobytes()), (8 * (n + 1 + k), ends.tobytes()), (8 * (2 * n + 1) + size, b"".join(raw))):
-                    out.seek(at)
-                    out.write(data)
-                counts[k : k + len(raw)] = t.column("n").to_numpy()
-                k, size = k + len(raw), int(ends[-1]) if len(raw) else size
-        file.send(spark)
-        return cls(file, n, size), counts
+                words = t.column("word").cast(pa.large_string()).combine_chunks()
+                hashes.append(t.column("h").to_numpy())
+                counts.append(t.column("n").to_numpy())
+                sizes.append(pa.compute.binary_length(words).to_numpy(zero_copy_only=False))
+                yield "".join(words.to_pylist()).encode()
+
+        blob = Shared.write(spark, "words", blobs())
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        files = [Shared.write(spark, name, [x.astype(np.int64).tobytes()]) for name, x in (("word-hashes", np.concatenate(hashes)), ("word-ends", ends))]
+        return cls(*files, blob, n, int(ends[-1])), np.concatenate(counts).astype(np.int64)
 
     def places(self, words: list[str]) -> np.ndarray:
         """The place of each word, -1 for others."""
@@ -465,11 +432,7 @@ def smoothed(spark: SparkSession, lexicon: Lexicon, counts: np.ndarray, rare_typ
     emission = np.ones(len(classes))
     emission[:words] = counts[:words] / np.maximum(totals[classes[:words]], 1)
     emission[words : words + RARE] = 1 / (rare_types + 1)
-    file = Shared.new("emissions")
-    with open(file.path, "wb") as out:
-        np.log(np.maximum(emission, 1e-300)).tofile(out)
-        classes.astype(np.uint8).tofile(out)
-    file.send(spark)
+    file = Shared.write(spark, "emissions", [np.log(np.maximum(emission, 1e-300)).tobytes(), classes.astype(np.uint8).tobytes()])
     return BrownModel(lexicon, file, np.log(transition), [])
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,42 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@dataclass(frozen=True)
+class Shared:
+    """A file in the shared folder that workers map into memory, so that those of one machine share its pages and none holds a copy. It stays until the
+    session ends, as the frames that read it may be run at any time."""
+
+    path: str
+
+    @classmethod
+    def write(cls, spark: SparkSession, name: str, parts: Iterable[bytes]) -> Shared:
+        """A new file of the parts, one after the other."""
+        path = scratch(spark, name)
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getScheme() == "file":
+            local = str(at.toUri().getPath())
+            Path(local).parent.mkdir(parents=True, exist_ok=True)
+            with open(local, "wb") as out:
+                out.writelines(parts)
+            path = local
+        else:
+            out = fs.create(at)
+            for part in parts:
+                for k in range(0, len(part), 1 << 22):
+                    out.write(bytearray(part[k : k + (1 << 22)]))
+            out.close()
+            # Spark brings it to the executors' own work folders.
+            spark.sparkContext.addFile(path)
+        fs.deleteOnExit(at)
+        return cls(path)
+
+    def array(self, dtype: type, n: int, at: int = 0) -> np.ndarray:
+        path = self.path if os.path.exists(self.path) else SparkFiles.get(os.path.basename(self.path))
+        return np.asarray(np.memmap(path, dtype, "r", at, (n,))) if n else np.zeros(0, dtype)
+
+
 #: Whether Spark drops a query's shuffle files when the query has ended.
 _DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
