@@ -2,8 +2,8 @@
 
 Words are assigned to classes by exchange clustering: each word moves to the class that raises the likelihood of the
 corpus under P(word | previous) = P(class | previous class) * P(word | class) most. Words move in groups: those of one
-group are tried in parallel against the counts that the classes had before. Where a group's moves lower the likelihood
-together, the better half of them is tried instead, and so on; then the next group's turn comes. The search ends when a round
+group are tried in parallel against the counts that the classes had before. Of a group's moves all, the better half, the better quarter
+and so on are tried, in one pass, and those that raise the likelihood most together are made; then the next group's turn comes. The search ends when a round
 over all groups moves nothing or gains less than ``TOLERANCE`` a token. Transitions are smoothed towards the class's own frequency, and emissions leave one
 count for unseen words, so every text has a finite perplexity.
 
@@ -12,16 +12,15 @@ its own. Words that occur once don't move: their class is a hash of their last t
 evenly, as their counts are equal. The words, their classes and probabilities lie in files of the shared folder that the executors map into memory;
 the driver holds some 30 bytes a word, and a step of the exchange sends one byte a word.
 
-A word is a run of characters without white space, lower case, outer punctuation off; pure punctuation is a word.
+A word is a run of characters without white space, outer punctuation off, lower case; pure punctuation is a word.
 
 Cases: a null or empty text has no tokens, log-probability 0 and null perplexity; repeated rows count and are scored
-each; an empty table gives no rows.
+each; an empty table gives no rows; ids that aren't integers raise.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -32,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Shared, chunks, cut, remove, scratch, utf8
+from weftline.llm.common import Shared, cut, remove, scratch, slices, utf8
 
 RARE = 32
 _OUTER = ".,;:!?\"'()[]{}#$%&*|-_/"
-_MEMORY = 200_000
-#: Different words, and bigrams, that a task holds before it passes its counts on.
-_FLUSH = 300_000
+#: Characters of text that a worker takes at a time.
+_CHUNK = 4_000_000
+#: Bigrams that a task holds before it passes its counts on.
 _BIGRAMS = 4_000_000
 #: Words that the driver holds on their way to the lexicon's file.
 _PART = 500_000
@@ -48,13 +47,53 @@ _SMALL = 31
 TOLERANCE = 1e-3
 
 
-def normal(token: str) -> str:
-    """The word of a token."""
-    return token.strip(_OUTER).lower() or token
+def _tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all the texts' tokens, and how many each text has."""
+    split = pa.compute.utf8_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+    flat = split.flatten()
+    some = pa.compute.not_equal(flat, "")
+    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))[some.to_numpy(zero_copy_only=False)]
+    tokens = flat.filter(some).dictionary_encode()
+    words = pa.compute.utf8_lower(pa.compute.utf8_trim(tokens.dictionary, _OUTER))
+    words = pa.compute.if_else(pa.compute.equal(words, ""), tokens.dictionary, words).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(words.indices.take(tokens.indices), words.dictionary), np.bincount(row, minlength=len(texts))
 
 
-def rare_class(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word[-2:]) % RARE
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, where each begins, and its length."""
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends[:-1], np.diff(ends)
+
+
+def _flat(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. for size[0] places, then begin[1], and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, none of which is empty."""
+    data, begin, size = _bytes(words)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    flat = _flat(begin, size)
+    inside = (flat - np.repeat(begin, size)).astype(np.uint64)
+    sums = np.add.reduceat(_mix(data[flat].astype(np.uint64) + (inside << np.uint64(32)) + np.uint64(0x9E3779B97F4A7C15)), np.cumsum(size) - size)
+    return _mix(sums + size.astype(np.uint64)).view(np.int64)
+
+
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """A class of each word by a hash of its last two letters."""
+    ends = pa.compute.utf8_slice_codeunits(words, -2, 1 << 30).dictionary_encode()
+    own = np.array([xxhash.xxh3_64_intdigest(x) % RARE for x in ends.dictionary.to_pylist()], dtype=np.int64)
+    return own[ends.indices.to_numpy()]
 
 
 class Words(Mapping):
@@ -72,40 +111,56 @@ class Words(Mapping):
         """The words of (word, n) and their counts. They pass the driver ``_PART`` at a time on their way to the files."""
         spark, n = known.sparkSession, known.count()
         parts = max(1, -(-n // _PART))
-        placed = known.select("word", "n", F.xxhash64("word").alias("h")).withColumn("part", F.expr(f"((shiftright(h, 40) + {1 << 23}) * {parts}) div {1 << 24}"))
-        hashes, sizes, counts = [], [], []
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes(batch.column(0)))], ["word", "n", "h"])
+
+        placed = known.select("word", "n").mapInArrow(hashed, "word string, n bigint, h bigint").withColumn("part", F.expr(f"((shiftright(h, 40) + {1 << 23}) * {parts}) div {1 << 24}"))
+        placed = cut(placed) if parts > 1 else placed
+        found, sizes, counts = [], [], []
 
         def blobs() -> Iterator[bytes]:
             for part in range(parts):
                 t = placed.where(F.col("part") == part).select("word", "h", "n").toArrow().sort_by([("h", "ascending"), ("word", "ascending")])
                 words = t.column("word").cast(pa.large_string()).combine_chunks()
-                hashes.append(t.column("h").to_numpy())
+                found.append(t.column("h").to_numpy())
                 counts.append(t.column("n").to_numpy())
                 sizes.append(pa.compute.binary_length(words).to_numpy(zero_copy_only=False))
                 yield "".join(words.to_pylist()).encode()
 
         blob = Shared.write(spark, "words", blobs())
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
-        files = [Shared.write(spark, name, [x.astype(np.int64).tobytes()]) for name, x in (("word-hashes", np.concatenate(hashes)), ("word-ends", ends))]
+        files = [Shared.write(spark, name, [x.astype(np.int64).tobytes()]) for name, x in (("word-hashes", np.concatenate(found)), ("word-ends", ends))]
         return cls(*files, blob, n, int(ends[-1])), np.concatenate(counts).astype(np.int64)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """The place of each word, -1 for others."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 for others. Hashes find it, all bytes are compared."""
+        out = np.full(len(words), -1, np.int64)
+        if not self.n:
+            return out
+        data, begin, size = _bytes(words)
+        h = hashes(words)
         at = np.searchsorted(self.hashes, h)
-        out = np.full(len(raw), -1, np.int64)
-        for i in np.flatnonzero(self.hashes[np.minimum(at, self.n - 1)] == h) if self.n else ():
-            p = int(at[i])
-            while p < self.n and self.hashes[p] == h[i]:
-                if self.blob[self.ends[p] : self.ends[p + 1]].tobytes() == raw[i]:
-                    out[i] = p
-                    break
-                p += 1
+        rows = np.flatnonzero(self.hashes[np.minimum(at, self.n - 1)] == h)
+        while len(rows):
+            p = at[rows]
+            alike = self.ends[p + 1] - self.ends[p] == size[rows]
+            own, q = rows[alike], p[alike]
+            if len(own):
+                n = size[own]
+                wrong = data[_flat(begin[own], n)] != self.blob[_flat(self.ends[q], n)]
+                alike[alike] = np.add.reduceat(wrong.astype(np.int64), np.cumsum(n) - n) == 0
+            out[rows[alike]] = at[rows[alike]]
+            # Another word may have the same hash.
+            rows = rows[~alike]
+            at[rows] += 1
+            rows = rows[at[rows] < self.n]
+            rows = rows[self.hashes[at[rows]] == h[rows]]
         return out
 
     def __getitem__(self, word: str) -> int:
-        p = int(self.places([word])[0])
+        p = int(self.places(pa.array([word]))[0])
         if p < 0:
             raise KeyError(word)
         return p
@@ -117,44 +172,32 @@ class Words(Mapping):
         return self.n
 
 
-class Lexicon(dict):
+@dataclass(frozen=True)
+class Lexicon:
     """Token -> code: the place of a movable word, or their number plus the rare class."""
 
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
-
-    def __reduce__(self):
-        return Lexicon, (self.words,)
+    words: Words
 
-    def learn(self, tokens: list[str]) -> None:
-        words = [normal(t) for t in tokens]
-        places = self.words.places(words)
-        self.update((t, p if p >= 0 else len(self.words) + rare_class(w)) for t, w, p in zip(tokens, words, places.tolist(), strict=True))
-
-    def __missing__(self, token: str) -> int:
-        self.learn([token])
-        return self[token]
+    def __getitem__(self, token: str) -> int:
+        return int(self.codes(pa.array([token]))[0][1])
 
     @property
     def start(self) -> int:
         """The code before each text."""
         return len(self.words) + RARE
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' codes, each text after ``start``; and where those stand."""
-        every = [(t or "").split() for t in texts]
-        new = list({w for own in every for w in own if w not in self})
-        self.learn(new)
-        n = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' codes, each text after ``start``; and where those stand. Each different word is looked up once."""
+        tokens, n = _tokens(texts)
+        every = tokens.dictionary
+        code = self.words.places(every)
+        rare = np.flatnonzero(code < 0)
+        code[rare] = len(self.words) + rare_classes(every.take(pa.array(rare)))
         at = np.cumsum(n + 1) - n - 1
-        out = np.full(int(n.sum()) + len(every), self.start, dtype=np.int64)
+        out = np.full(len(tokens) + len(n), self.start, dtype=np.int64)
         inside = np.ones(len(out), dtype=bool)
         inside[at] = False
-        out[inside] = np.fromiter((self[w] for own in every for w in own), dtype=np.int64, count=int(n.sum()))
-        if len(self) > _MEMORY:
-            for w in new:
-                del self[w]
+        out[inside] = code[tokens.indices.to_numpy()]
         return out, at
 
 
@@ -162,22 +205,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all documents of a frame with one column of text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            for token, n in held.items():
-                words[normal(token)] += n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for _, own in chunks(batch.column(0)):
-                for t in own:
-                    held.update((t or "").split())
-                if len(held) >= _FLUSH:
-                    yield flush()
-        yield flush()
+            for own in slices(batch.column(0), _CHUNK):
+                tokens, _ = _tokens(own)
+                n = np.bincount(tokens.indices.to_numpy(), minlength=len(tokens.dictionary))
+                yield pa.RecordBatch.from_arrays([tokens.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
 
     return texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -197,7 +229,7 @@ def bigram_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
         for batch in batches:
-            for _, own in chunks(batch.column(0)):
+            for own in slices(batch.column(0), _CHUNK):
                 codes, _ = sent.value.codes(own)
                 key = (codes[:-1] * size + codes[1:])[codes[1:] != size - 1]
                 held.append(key)
@@ -255,39 +287,63 @@ def _flog(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int, tried: np.ndarray | None = None) -> np.ndarray:
-    """How often each class follows each class. With ``tried``, how that changes if codes of these contexts have other classes then."""
-    sent = contexts.sparkSession.sparkContext.broadcast((classes, tried))
+def _summed(parts: DataFrame, n: int) -> np.ndarray:
+    """The sums of (i, x) by i, taken on the executors."""
+    t = parts.groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(n)
+    out[t.column("i").to_numpy()] = t.column("x").to_numpy()
+    return out
+
+
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    i = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "x"])
+
+
+def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
+    """How often each class follows each class."""
+    sent = contexts.sparkSession.sparkContext.broadcast(classes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, then = sent.value
-        total = np.zeros(size * size)
+        own, total = sent.value, np.zeros(size * size)
         for batch in batches:
-            if then is not None:
-                w = batch.column(0).to_numpy()
-                batch = batch.filter(pa.array(own[w] != then[w]))
-            w = batch.column(0).to_numpy()
             row, o, n = _lists(batch, 1)
-            a = w[row]
-            total += np.bincount((own if then is None else then)[a].astype(np.int64) * size + (own if then is None else then)[o], weights=n, minlength=size * size)
-            if then is not None:
-                total -= np.bincount(own[a].astype(np.int64) * size + own[o], weights=n, minlength=size * size)
-                # A pair of two that move counts once, with its first word.
-                row, o, n = _lists(batch, 3)
-                stays = own[o] == then[o]
-                b, o, n = w[row][stays], o[stays], n[stays]
-                total += np.bincount(own[o].astype(np.int64) * size + then[b], weights=n, minlength=size * size)
-                total -= np.bincount(own[o].astype(np.int64) * size + own[b], weights=n, minlength=size * size)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["x"])
-
-    # One small matrix from each task, whose sum is taken on the executors.
-    parts = contexts.select("w", "after", "n_after", "before", "n_before").mapInArrow(add, "x array<double>").select(F.posexplode("x").alias("i", "x")).where("x != 0").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+            total += np.bincount(own[batch.column(0).to_numpy()[row]].astype(np.int64) * size + own[o], weights=n, minlength=size * size)
+        yield _cells(total)
+
+    out = _summed(contexts.select("w", "after", "n_after").mapInArrow(add, "i bigint, x double"), size * size)
     sent.destroy()
-    out = np.zeros(size * size)
-    out[parts.column("i").to_numpy()] = parts.column("x").to_numpy()
     return out.reshape(size, size)
 
 
+def changes(contexts: DataFrame, classes: np.ndarray, then: np.ndarray, level: np.ndarray, levels: int, size: int) -> np.ndarray:
+    """[q]: how the class bigrams change if the codes of level q and more have the classes ``then``; level: -1 for codes that stay."""
+    sent = contexts.sparkSession.sparkContext.broadcast((classes, then, level))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, new, up = sent.value
+        total = np.zeros((levels, size * size))
+        for batch in batches:
+            batch = batch.filter(pa.array(up[batch.column(0).to_numpy()] >= 0))
+            w = batch.column(0).to_numpy()
+            sides = [(w[row], o, n) for row, o, n in (_lists(batch, 1), _lists(batch, 3))]
+            for q in range(levels):
+                sides = [tuple(x[up[mine] >= q] for x in (mine, o, n)) for mine, o, n in sides]
+                now = lambda c, q=q: np.where(up[c] >= q, new[c], own[c]).astype(np.int64)
+                a, o, n = sides[0]
+                total[q] += np.bincount(now(a) * size + now(o), weights=n, minlength=size * size)
+                total[q] -= np.bincount(own[a].astype(np.int64) * size + own[o], weights=n, minlength=size * size)
+                # A pair of two that move counts once, with its first word.
+                b, o, n = (x[up[sides[1][1]] < q] for x in sides[1])
+                total[q] += np.bincount(own[o].astype(np.int64) * size + new[b], weights=n, minlength=size * size)
+                total[q] -= np.bincount(own[o].astype(np.int64) * size + own[b], weights=n, minlength=size * size)
+        yield _cells(total.ravel())
+
+    out = _summed(contexts.select("w", "after", "n_after", "before", "n_before").mapInArrow(add, "i bigint, x double"), levels * size * size)
+    sent.destroy()
+    return out.reshape(levels, size, size)
+
+
 def likelihood(n: np.ndarray) -> float:
     """The log-likelihood of the classes' sequence and the words in it, without the words' own constant."""
     return float(_flog(n).sum() - _flog(n.sum(1)).sum() - _flog(n.sum(0)).sum())
@@ -381,16 +437,22 @@ def exchange(contexts: DataFrame, counts: np.ndarray, k: int, rounds: int | None
             moves = own.mapInArrow(move, "w int, c int, gain double").toArrow().sort_by([("gain", "descending"), ("w", "ascending")])
             sent.destroy()
             w, c = moves.column("w").to_numpy(), moves.column("c").to_numpy()
-            # The moves of a group don't know of each other. Where they lose together, the better half is tried; one alone gains.
-            while len(w):
-                tried = classes.copy()
-                tried[w] = c
-                now = n + class_bigrams(own, classes, size, tried)
-                if likelihood(now) > trace[-1]:
-                    classes, n = tried, now
-                    trace.append(likelihood(n))
-                    break
-                w, c = w[: len(w) // 2], c[: len(w) // 2]
+            if not len(w):
+                continue
+            # The moves of a group don't know of each other: all of them are tried together, the better half, the better quarter, and so on
+            # to the best one, which gains alone; those that gain most stay.
+            then = classes.copy()
+            then[w] = c
+            levels = len(w).bit_length()
+            level = np.full(len(classes), -1, np.int8)
+            for q in range(levels):
+                level[w[: len(w) >> q]] = q
+            tried = n + changes(own, classes, then, level, levels, size)
+            q = int(np.argmax([likelihood(x) for x in tried]))
+            if likelihood(tried[q]) > trace[-1]:
+                w, c = w[: len(w) >> q], c[: len(w) >> q]
+                classes[w], n = c, tried[q]
+                trace.append(likelihood(n))
         if trace[-1] - before <= least:
             break
     return classes, n, trace
@@ -412,9 +474,9 @@ class BrownModel:
     def __reduce__(self):
         return BrownModel, (self.lexicon, self.file, self.log_transition, self.trace)
 
-    def log_probs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def log_probs(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The log-probability and number of words of each text."""
-        codes, at = self.lexicon.codes(texts)
+        codes, at = self.lexicon.codes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         own = self.classes[codes]
         p = np.zeros(len(codes))
         p[1:] = self.log_transition[own[:-1], own[1:]] + self.log_emission[codes[1:]]
@@ -452,10 +514,9 @@ def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least:
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, count = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = rare_class(w)
-                types[c] += 1
-                count[c] += n
+            c = rare_classes(batch.column(0))
+            types += np.bincount(c, minlength=RARE)
+            count += np.bincount(c, weights=batch.column(1).to_numpy(), minlength=RARE).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(types), pa.array(count)], ["c", "types", "n"])
 
     others = words.where(F.col("n") < bound).mapInArrow(rare, "c bigint, types bigint, n bigint").groupBy("c").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).toArrow()
@@ -479,7 +540,7 @@ def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(texts: pa.Array) -> pa.Array:
-        parts = [sent.value.log_probs(own) for _, own in chunks(texts)]
+        parts = [sent.value.log_probs(own) for own in slices(texts, _CHUNK)]
         p = np.concatenate([np.zeros(0), *(x for x, _ in parts)])
         n = np.concatenate([np.zeros(0, np.int64), *(x for _, x in parts)])
         return pa.StructArray.from_arrays([pa.array(n), pa.array(p), pa.array(np.exp(-p / np.maximum(n, 1)), mask=n == 0)], ["n_words", "log_prob", "perplexity"])
