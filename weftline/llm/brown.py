@@ -37,7 +37,7 @@ RARE = 32
 _OUTER = ".,;:!?\"'()[]{}#$%&*|-_/"
 #: Characters of text that a worker takes at a time.
 _CHUNK = 4_000_000
-#: Bigrams that a task holds before it passes its counts on.
+#: Bigrams that a task holds before it passes its counts on, and those that one gathers, about.
 _BIGRAMS = 4_000_000
 #: Words that the driver holds on their way to the lexicon's file.
 _PART = 500_000
@@ -214,64 +214,101 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(a, b, n): how often code b follows code a, over all documents."""
-    sent = texts.sparkSession.sparkContext.broadcast(lexicon)
+def _packed(w: np.ndarray, o: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows in the order of w, compressed."""
+    wide = np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64
+    raw = np.array([len(w), np.dtype(wide).itemsize], np.int64).tobytes() + np.diff(w, prepend=0).astype(np.uint32).tobytes() + o.astype(np.uint32).tobytes() + n.astype(wide).tobytes()
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(memoryview(data)[8:], int(np.frombuffer(data, np.int64, 1)[0]), "zstd", asbytes=True)
+    k, size = np.frombuffer(raw, np.int64, 2)
+    return np.cumsum(np.frombuffer(raw, np.uint32, k, 16).astype(np.int64)), np.frombuffer(raw, np.uint32, k, 16 + 4 * k).astype(np.int64), np.frombuffer(raw, np.uint32 if size == 4 else np.int64, k, 16 + 8 * k).astype(np.int64)
+
+
+def _place(codes: np.ndarray, n: int) -> np.ndarray:
+    """A multiplicative hash that spreads codes over n places."""
+    return (codes.astype(np.int64) * 2654435761 >> 7) % n
+
+
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, rising, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def contexts(texts: DataFrame, lexicon: Lexicon, groups: int, tokens: int) -> DataFrame:
+    """(w, after, n_after, before, n_before, turn) over all documents: for each code the codes after and before it, with counts, and its group; others
+    than words are in a group of their own. tokens: of all documents; a task has those of about ``_BIGRAMS``.
+
+    Each task adds up its bigrams and sends them in blocks, sorted and compressed, so that a block is a row and a bigram a few bytes.
+    """
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(lexicon)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // _BIGRAMS))
+    buckets, words, size = 8 * parts, len(lexicon.words), lexicon.start + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = sent.value.start + 1
         held: list[np.ndarray] = []
         room = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+            for after in (True, False):
+                w, o = (key // size, key % size) if after else (key % size, key // size)
+                rows = np.flatnonzero(w < words) if not after else np.arange(len(w))
+                bucket = _place(w[rows], buckets)
+                order = np.lexsort((w[rows], bucket))
+                rows, bucket = rows[order], bucket[order]
+                ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1 if len(rows) else np.zeros(0, np.int64)
+                begin = np.append(0, ends)[:-1].astype(np.int64)
+                for k in range(0, len(ends), 64):
+                    own = [rows[i:j] for i, j in zip(begin[k : k + 64], ends[k : k + 64], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[begin[k : k + 64]]), pa.array([after] * len(own)), pa.array([_packed(w[x], o[x], n[x]) for x in own], pa.binary())], ["bucket", "after", "block"])
 
         for batch in batches:
             for own in slices(batch.column(0), _CHUNK):
                 codes, _ = sent.value.codes(own)
-                key = (codes[:-1] * size + codes[1:])[codes[1:] != size - 1]
-                held.append(key)
-                room += len(key)
+                held.append((codes[:-1] * size + codes[1:])[codes[1:] != size - 1])
+                room += len(held[-1])
                 if room >= _BIGRAMS:
-                    yield flush()
+                    yield from flush()
                     room = 0
-        yield flush()
-
-    return texts.mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _contexts(bigrams: DataFrame, words: int, groups: int) -> DataFrame:
-    """(w, after, n_after, before, n_before, turn): for each code the codes after and before it, with counts, and its group; others
-    than words are in a group of their own."""
-    both = bigrams.select(F.col("a").alias("w"), F.col("b").alias("o"), "n", F.lit(True).alias("after")).union(bigrams.where(F.col("b") < words).select("b", "a", "n", F.lit(False)))
+        yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had = [tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)) for batch in batches]
-        if not had:
-            return
-        w, o, n, after = (np.concatenate([h[k] for h in had]) for k in range(4))
-        del had
-        order = np.lexsort((o, after, w))
-        w, o, n, after = w[order], o[order], n[order], after[order]
-        codes, first = np.unique(w, return_index=True)
-        first = np.append(first, len(w))
-        # In a word's rows those before it come first.
-        mid = first[:-1] + np.add.reduceat((~after).astype(np.int64), first[:-1])
-        # A multiplicative hash spreads the words over the groups.
-        turn = np.where(codes < words, (codes.astype(np.int64) * 2654435761 >> 7) % groups, groups).astype(np.int32)
+        had: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+        for batch in batches:
+            for after, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                w, o, n = _unpacked(block)
+                had[after].append((w * size + o, n))
+                if sum(len(k) for k, _ in had[after]) > 4 * _BIGRAMS and len(had[after]) > 8:
+                    had[after] = [_added(*map(np.concatenate, zip(*had[after], strict=True)))]
+        none = np.zeros(0, np.int64)
+        sides = {}
+        for after, own in had.items():
+            key, n = _added(*map(np.concatenate, zip(*own, strict=True))) if own else (none, none)
+            sides[after] = (key // size, key % size, n)
+            own.clear()
+        codes = np.union1d(sides[True][0], sides[False][0])
+        turn = np.where(codes < words, _place(codes, 1 << 20) % groups, groups).astype(np.int32)
         for start in range(0, len(codes), 500):
-            lo, hi, cut_ = (x[start : start + 500] for x in (first[:-1], first[1:], mid))
+            some = codes[start : start + 500]
             lists = []
-            for begin, end in ((cut_, hi), (lo, cut_)):
-                size = end - begin
-                flat = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-                ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                lists += [pa.ListArray.from_arrays(ends, pa.array(o[flat])), pa.ListArray.from_arrays(ends, pa.array(n[flat]))]
-            yield pa.RecordBatch.from_arrays([pa.array(codes[start : start + 500]), *lists, pa.array(turn[start : start + 500])], ["w", "after", "n_after", "before", "n_before", "turn"])
+            for after in (True, False):
+                w, o, n = sides[after]
+                begin, end = np.searchsorted(w, some, "left"), np.searchsorted(w, some, "right")
+                ends = pa.array(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32))
+                at = slice(begin[0], end[-1])
+                lists += [pa.ListArray.from_arrays(ends, pa.array(o[at].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n[at]))]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists, pa.array(turn[start : start + 500])], ["w", "after", "n_after", "before", "n_before", "turn"])
 
-    return both.repartition("w").mapInArrow(gather, _CONTEXTS)
+    blocks = texts.mapInArrow(count, "bucket bigint, after boolean, block binary")
+    return blocks.repartition(parts, "bucket").mapInArrow(gather, _CONTEXTS)
 
 
 _CONTEXTS = "w int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>, turn int"
@@ -401,20 +438,20 @@ def best_class(n: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, l
     return int(to[0]), float(gain[0])
 
 
-def exchange(contexts: DataFrame, counts: np.ndarray, k: int, rounds: int | None, groups: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def exchange(table: DataFrame, counts: np.ndarray, k: int, rounds: int | None, groups: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Classes of all codes, the class bigrams, and the likelihood after each step. counts: of the words."""
-    spark, words = contexts.sparkSession, len(counts)
+    spark, words = table.sparkSession, len(counts)
     size = k + RARE + 1
     classes = np.concatenate([np.zeros(words), k + np.arange(RARE + 1)]).astype(np.min_scalar_type(size))
     classes[np.argsort(-counts, kind="stable")] = np.arange(words) % k
-    n = class_bigrams(contexts, classes, size)
+    n = class_bigrams(table, classes, size)
     trace, least = [likelihood(n)], tolerance * n.sum()
     for done in itertools.count():
         if done == rounds:
             break
         before = trace[-1]
         for turn in range(groups):
-            own = contexts.where(F.col("turn") == turn).drop("turn")
+            own = table.where(F.col("turn") == turn).drop("turn")
             sent = spark.sparkContext.broadcast((classes, n))
 
             def move(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -526,7 +563,7 @@ def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least:
     every[known + others.column("c").to_numpy()] = others.column("n").to_numpy()
     at = scratch(spark, "contexts")
     try:
-        _contexts(cut(bigram_counts(texts, lexicon)), known, groups).write.partitionBy("turn").parquet(at)
+        contexts(texts, lexicon, groups, total).write.partitionBy("turn").parquet(at)
         own, n, trace = exchange(spark.read.schema(_CONTEXTS).parquet(at), counts, classes, rounds, groups, tolerance)
     finally:
         remove(spark, at)
