@@ -4,14 +4,14 @@ One table holds all the languages' filters: slot j has one bit for each language
 ``PROBES`` slots is the bitmask of all languages that contain it. A text's n-grams are looked up all at once; the
 set bits are counted for each language, corrected for that filter's rate of false positives, and the counts decide.
 
-An n-gram is four folded letters, with word edges as separators. A language contains it if it makes up at least
-``share`` of the n-grams of its training text and at least ``rival`` times its share in any other language. Training
+An n-gram is four folded letters, with word edges as separators. A language contains it if it occurs in its training text, however
+many other languages contain it too. Training
 takes at most ``per_language`` rows with that language in ``lang``, those with the lowest hash of the id: a documented
 bound. Identification covers every document and its whole text.
 
 Cases: a null text, or one without n-grams, or in which no language reaches ``least`` of the n-grams, is ``und`` with
-confidence 0 where nothing was counted; of equal counts the first language by name wins; rows with a null language
-don't train; with no training rows every text is ``und``. There can be 64 languages at most.
+confidence 0 where nothing was counted; of equal counts the first language by name wins; rows with a null language or a null id
+don't train; with no training rows every text is ``und``. There can be 64 languages at most. Ids that aren't integers raise.
 """
 
 from __future__ import annotations
@@ -77,29 +77,19 @@ class LanguageFilters:
         return out, n
 
 
-def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], *, share: float = 2e-5, rival: float = 0.2) -> LanguageFilters:
-    """Filters from each language's distinct n-grams and their counts."""
+def build(grams: dict[str, np.ndarray]) -> LanguageFilters:
+    """Filters of each language's distinct n-grams."""
     names = sorted(grams)
     if len(names) > 64:
         raise ValueError("more than 64 languages")
     if not names:
         return LanguageFilters([], np.zeros(2, np.uint8), np.zeros(0))
-    every = np.concatenate([g for g, _ in grams.values()])
-    keys, at = np.unique(every, return_inverse=True)
-    best = np.zeros(len(keys))
-    shares, k = {}, 0
-    for name, (g, c) in grams.items():
-        own = at[k : k + len(g)]
-        k += len(g)
-        shares[name] = (own, c / max(1, c.sum()))
-        np.maximum.at(best, own, shares[name][1])
-    kept = {name: keys[own[(p >= share) & (p >= rival * best[own])]] for name, (own, p) in shares.items()}
-    slots = 1 << max(10, int(np.ceil(np.log2(_ROOM * max(1, max(map(len, kept.values())))))))
+    slots = 1 << max(10, int(np.ceil(np.log2(_ROOM * max(1, max(map(len, grams.values())))))))
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= 8 * np.dtype(t).itemsize)
     table = np.zeros(slots, dtype=kind)
     m = np.uint64(slots - 1)
     for bit, name in enumerate(names):
-        g = kept[name]
+        g = grams[name]
         step = (g >> np.uint64(32)) | np.uint64(1)
         for k in range(PROBES):
             np.bitwise_or.at(table, ((g + np.uint64(k) * step) & m).astype(np.int64), kind(1 << bit))
@@ -107,8 +97,8 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], *, share: float = 2e-
     return LanguageFilters(names, table, fill**PROBES)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, **kw) -> LanguageFilters:
-    """Build filters from ``per_language`` documents of each language; their n-grams are counted on the executors."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> LanguageFilters:
+    """Build filters from ``per_language`` documents of each language; their n-grams are gathered on the executors."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("wl_id"), F.col(lang_col).cast("string").alias("lang"), utf8(text_col).alias("text")).where("lang is not null and text is not null")
     keys = rows.select("wl_id", "lang").distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("wl_id"), "wl_id")
@@ -121,18 +111,19 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 names = np.array(batch.column(0).slice(start, len(texts)).to_pylist(), dtype=object)
                 grams, row = ngrams(texts)
                 for name in sorted(set(names)):
-                    g, n = np.unique(grams[names[row] == name], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                    g = np.unique(grams[names[row] == name])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.view(np.int64))], ["lang", "gram"])
 
-    # The sample has per_language rows a language at most, whatever the input: it is the side that is sent.
-    sample = rows.join(F.broadcast(some), ["wl_id", "lang"]).select("lang", "text")
-    found = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    # The sample has per_language ids a language at most, whatever the input: it is the side that is sent. Ids may come again, so its rows are bounded too.
+    own = rows.join(F.broadcast(some), ["wl_id", "lang"]).withColumn("wl_h", F.xxhash64("text"))
+    own = own.withColumn("wl_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("wl_id"), "wl_id", "wl_h"))).where(F.col("wl_n") <= per_language)
+    found = own.select("lang", "text").mapInArrow(count, "lang string, gram bigint").distinct().toArrow()
     names = np.array(found.column("lang").to_pylist(), dtype=object)
-    grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    return build({name: (grams[names == name], n[names == name]) for name in sorted(set(names))}, **kw)
+    grams = found.column("gram").to_numpy().view(np.uint64)
+    return build({name: np.sort(grams[names == name]) for name in sorted(set(names))})
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.25) -> DataFrame:
+def identify(docs: DataFrame, filters: LanguageFilters, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
     """(doc_id, language, confidence, languages) of every document. languages: all that reach ``least`` of its n-grams,
     the likeliest first. confidence: the share of n-grams of the first. Map only: no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
