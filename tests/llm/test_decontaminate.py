@@ -15,7 +15,7 @@ def brute(docs, tests, ngram=8, least=5):
     found = defaultdict(set)
     for item, t in tests:
         w = split(t)
-        if len(w) < least:
+        if len(w) < least and len("".join(w)) < 24 or not w:
             continue
         k = min(ngram, len(w))
         grams = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
@@ -78,3 +78,31 @@ def test_odd_cases(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 5
     assert d.leaks(none, b).count() == 0 and d.leaks(odd, b.limit(0)).count() == 0
     assert d.clean(odd, b.limit(0)).count() == odd.count() and d.clean(none, b).count() == 0
+
+
+def test_short_strings_and_scripts_without_blanks(spark):
+    han = "".join(chr(0x4E00 + (k * 37) % 3000) for k in range(40))
+    tests = [(1, "antidisestablishmentarianism floccinaucinihilipilification"), (2, "yes it is"), (3, han), (4, f"abc {han[:4]} def {han[20:24]} tail words here now"), (5, None)]
+    docs = [
+        (1, "so Antidisestablishmentarianism, floccinaucinihilipilification!"),
+        (2, "yes it is"),
+        (3, "前" + han[3:22] + "后"),
+        (4, han[:12]),
+        (5, f"x abc {han[:4]} def {han[20:24]} tail words here now y"),
+        (6, han[::-1]),
+    ]
+    docs, tests = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(tests, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.leaks(docs, tests).collect()}
+    assert got == {(1, 1), (3, 3), (5, 4)}
+    assert {r["doc_id"] for r in d.clean(docs, tests).collect()} == {2, 4, 6}
+
+
+def test_several_passes_find_the_same(spark, monkeypatch):
+    r = random.Random(2)
+    tests = [(k, words(50 + k, r.randint(6, 30))) for k in range(40)] + [(None, words(51, 12)), (7, words(51, 12))]
+    docs = [(i, " ".join([words(i, 20), tests[i % 40][1], words(i + 7, 5)])) for i in range(60)] + [(None, tests[3][1])]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(tests, "item_id bigint, text string")
+    one = sorted(map(str, d.leaks(frame, bench).collect()))
+    monkeypatch.setattr(d, "PASS_CHARS", 500)
+    assert sorted(map(str, d.leaks(frame, bench).collect())) == one and len(one) > 60
+    assert d.clean(frame, bench).count() == 0

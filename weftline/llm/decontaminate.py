@@ -6,18 +6,25 @@ shifts, indexed by a hash of the last ``block`` characters of the search window,
 without missing a pattern; where it can't move, the bucket of that hash holds the patterns whose window ends so, and
 each is compared directly. Cursors at the starts of many segments of text move in step, one numpy operation for all.
 
-Cases: a null or empty text holds nothing; a null, empty or too short test string (under ``min_words`` words) isn't
-searched for; equal test strings are all reported; an empty table on either side gives no rows. A document row with
+In scripts without blanks between words two characters count as a word, and patterns begin and end anywhere.
+
+Cases: a null or empty text holds nothing; a null or empty test string isn't searched for, nor is one of under ``min_words`` words that has under
+``min_chars`` letters and digits too, as it would be found in clean texts; equal test strings are all reported; an empty table on either side gives no rows. A document row with
 a null id is reported with a null id, and rows with one id count as one document.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import EDGE, chunks, fold_table, joined, utf8
@@ -90,95 +97,134 @@ class WuManber:
                 found.append((at, p))
 
 
-def passages(text: str | None, ngram: int, min_words: int) -> list[bytes]:
+#: Scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def passages(text: str | None, ngram: int, min_words: int, min_chars: int) -> list[bytes]:
     """The distinct patterns of a test string."""
     folded, _ = joined([text], fold_table(True))
-    gaps = np.flatnonzero(folded == 0)
-    gaps = gaps[: int(np.searchsorted(gaps, np.flatnonzero(folded == EDGE)[0]))]
-    words = len(gaps) - 1
-    if words < min_words:
+    folded = folded[: int(np.flatnonzero(folded == EDGE)[0])]
+    letter = folded != 0
+    free = np.zeros(len(folded), dtype=bool)
+    for low, high in _UNSPACED:
+        free |= (folded >= low) & (folded <= high)
+    # A word begins after a separator, and where a run without blanks begins, ends, and after every two of its characters.
+    begin = letter & np.append(True, ~letter[:-1] | (free[1:] != free[:-1]))
+    run = np.maximum.accumulate(np.where(begin, np.arange(len(folded)), 0))
+    begin |= letter & free & ((np.arange(len(folded)) - run) % 2 == 0)
+    first = np.flatnonzero(begin)
+    words = len(first)
+    if not words or (words < min_words and int(letter.sum()) < min_chars):
         return []
     k = min(ngram, words)
-    return list(dict.fromkeys(folded[gaps[i] : gaps[i + k] + 1].tobytes() for i in range(words - k + 1)))
-
-
-def _searcher(items: list[tuple[int, str]], ngram: int, min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None:
-    owners: dict[bytes, list[int]] = {}
-    for item, text in items:
-        for p in passages(text, ngram, min_words):
-            owners.setdefault(p, []).append(item)
-    if not owners:
-        return None
-    patterns = list(owners)
-    built: list[WuManber] = []
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(WuManber(patterns))
-        machine = built[0]
-        for batch in batches:
-            ids = batch.column(0)
-            out: list[tuple[int | None, int, int, bytes]] = []
-            for start, texts in chunks(batch.column(1)):
-                array, starts = joined(texts, fold_table(True))
-                seen = set()
-                for at, p in machine.find(array):
-                    row = int(np.searchsorted(starts, at, "right")) - 1
-                    if (row, p) not in seen:
-                        seen.add((row, p))
-                        out += [(ids[start + row].as_py(), item, p) for item in owners[machine.patterns[p]]]
-            doc, item, passage = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(passage, pa.int64())], ["doc_id", "item_id", "passage"])
-
-    return search
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = 8, min_words: int = 5) -> DataFrame:
+    ends = np.append(first[1:], np.flatnonzero(letter)[-1] + 1) - 1
+    ends -= ~letter[ends]
+    # A word's separators belong to the pattern that begins or ends with it.
+    low = first - (~free[first] & ~letter[first - 1])
+    high = ends + 1 + (~free[ends] & ~letter[ends + 1])
+    return list(dict.fromkeys(folded[low[i] : high[i + k - 1]].tobytes() for i in range(words - k + 1)))
+
+
+@dataclass(frozen=True)
+class _Patterns:
+    """The patterns of some test strings and the items that have each, as arrays; sent to the executors once."""
+
+    key: str
+    blob: bytes
+    ends: np.ndarray
+    items: np.ndarray
+    item_ends: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int | None, str]], ngram: int, min_words: int, min_chars: int) -> _Patterns | None:
+        owners: dict[bytes, list[int | None]] = {}
+        for item, text in rows:
+            for p in passages(text, ngram, min_words, min_chars):
+                owners.setdefault(p, []).append(item)
+        if not owners:
+            return None
+        items = [i for own in owners.values() for i in own]
+        return cls(uuid.uuid4().hex, b"".join(owners), np.cumsum([0, *map(len, owners)]), np.ma.array([i or 0 for i in items], mask=[i is None for i in items], dtype=np.int64), np.cumsum([0, *map(len, owners.values())]))
+
+
+#: The machine that a worker built last, so that its tasks share it.
+_BUILT: dict[str, WuManber] = {}
+
+
+def _machine(own: _Patterns) -> WuManber:
+    if own.key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[own.key] = WuManber([own.blob[a:b] for a, b in itertools.pairwise(own.ends.tolist())])
+    return _BUILT[own.key]
+
+
+def _hits(own: _Patterns, texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(row, pattern) of all texts, each once."""
+    machine = _machine(own)
+    for start, part in chunks(texts):
+        array, starts = joined(part, fold_table(True))
+        seen = set()
+        for at, p in machine.find(array):
+            row = int(np.searchsorted(starts, at, "right")) - 1
+            if (row, p) not in seen:
+                seen.add((row, p))
+                yield start + row, int(machine.order[p])
+
+
+def _passes(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text_col: str, *how: int) -> list[Broadcast]:
+    """The test strings' patterns, PASS_CHARS characters of them at a time."""
+    tests = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), utf8(item_text_col).alias("text")).where("text is not null").distinct()
+    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = -(-total // PASS_CHARS)
+    found = []
+    for k in range(parts):
+        own = tests.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else tests
+        if (patterns := _Patterns.of([tuple(r) for r in own.collect()], *how)) is not None:
+            found.append(spark.sparkContext.broadcast(patterns))
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = 8, min_words: int = 5, min_chars: int = 24) -> DataFrame:
     """(doc_id, item_id, passages): for each document that holds part of a test string, how many different runs of
     ``ngram`` words of it. Only the test strings travel, in passes of PASS_CHARS characters at most; the documents
     are read in place, and nothing but the hits is shuffled.
     """
     spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), utf8(item_text_col).alias("text")).where("text is not null").distinct()
-    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // PASS_CHARS)
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"))
     found = []
-    for k in range(parts):
-        own = tests.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else tests
-        if (search := _searcher([tuple(r) for r in own.collect()], ngram, min_words)) is not None:
-            found.append(pairs.mapInArrow(search, "doc_id bigint, item_id bigint, passage bigint").withColumn("part", F.lit(k)))
+    for k, sent in enumerate(_passes(spark, benchmark, item_col, item_text_col, ngram, min_words, min_chars)):
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for batch in batches:
+                hits = list(_hits(own, batch.column(1)))
+                row, p = (np.array(x, np.int64) for x in (zip(*hits, strict=True) if hits else ((), ())))
+                n = own.item_ends[p + 1] - own.item_ends[p]
+                item = np.repeat(own.item_ends[p] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(row, n))), pa.array(own.items.data[item], mask=np.ma.getmaskarray(own.items)[item]), pa.array(np.repeat(p, n))], ["doc_id", "item_id", "passage"])
+
+        found.append(pairs.mapInArrow(search, "doc_id bigint, item_id bigint, passage bigint").withColumn("part", F.lit(k)))
     if not found:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, passages bigint")
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("doc_id", "item_id").agg(F.countDistinct("part", "passage").alias("passages"))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.countDistinct("part", "passage").alias("passages"))
 
 
-def _dirty(search: Callable) -> Callable:
-    """A function that says of each text whether the search finds anything in it."""
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", ngram: int = 8, min_words: int = 5, min_chars: int = 24, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that hold no run of ``ngram`` words of a test string. Each row is judged
+    by its own text, so ids needn't be unique or present; documents with a null or empty text stay."""
+    for sent in _passes(docs.sparkSession, benchmark, item_col, item_text_col, ngram, min_words, min_chars):
+        docs = docs.where(~F.arrow_udf(_dirty(sent), "boolean")(utf8(text_col)))
+    return docs
+
+
+def _dirty(sent: Broadcast) -> Callable[[pa.Array], pa.Array]:
+    """A function that says of each text whether it holds a pattern."""
 
     def dirty(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], ["doc_id", "text"])
         flags = np.zeros(len(texts), dtype=bool)
-        for hits in search(iter([batch])):
-            flags[hits.column(0).to_numpy()] = True
+        for row, _ in _hits(sent.value, texts):
+            flags[row] = True
         return pa.array(flags)
 
     return dirty
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", ngram: int = 8, min_words: int = 5, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no run of ``ngram`` words of a test string. Each row is judged
-    by its own text, so ids needn't be unique or present; documents with a null or empty text stay."""
-    tests = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), utf8(item_text_col).alias("text")).where("text is not null").distinct()
-    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // PASS_CHARS)
-    for k in range(parts):
-        own = tests.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else tests
-        if (search := _searcher([tuple(r) for r in own.collect()], ngram, min_words)) is None:
-            continue
-
-        docs = docs.where(~F.arrow_udf(_dirty(search), "boolean")(utf8(text_col)))
-    return docs
