@@ -33,12 +33,16 @@ def test_exact_over_the_universe(spark, monkeypatch, n, listed, local):
     cascade = urls.build(own)
     t = own.toPandas()
     assert (cascade.listed(t.h1.to_numpy(), t.h2.to_numpy()) == t.listed.to_numpy()).all()
+    monkeypatch.setattr(urls, "SHARD_BYTES", max(40, listed))
+    shards = urls.build(own)
+    assert (len(shards.files) > 1) == (listed >= 100)
+    assert (shards.listed(t.h1.to_numpy(), t.h2.to_numpy()) == t.listed.to_numpy()).all()
 
 
 def test_levels_alternate_and_shrink(spark):
-    cascade = urls.build(universe(spark, 20_000, 1000))
+    cascade = urls.cascade(universe(spark, 20_000, 1000))
     sizes = [x.bits for x in cascade.levels]
-    assert len(sizes) > 3 and sizes[0] == max(sizes) and cascade.bytes < 4000
+    assert len(sizes) > 3 and sizes[0] == max(sizes) and sum(sizes) < 32_000
 
 
 def test_equal_hashes_are_refused(spark):
@@ -59,7 +63,7 @@ def test_pages_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == want
     assert urls.blocked(pages.limit(0), entries).count() == 0
     assert not any(x["blocked"] for x in urls.blocked(pages, entries.limit(0)).collect())
-    monkeypatch.setattr(urls, "SEND_BYTES", 0)
+    monkeypatch.setattr(urls, "SHARD_BYTES", 1)
     assert sorted(map(tuple, urls.blocked(pages, entries).collect()), key=str) == want
 
 

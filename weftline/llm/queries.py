@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import brown, decontaminate, exact, langid, packing, pii, quality, simhash, tokens, urls
 
-#: Domains whose pages and subdomains' pages are blocked.
+#: Domains whose pages and subdomains' pages are blocked. The query's list also has an eighth of the pages' URLs, by their digest, and as many that don't occur.
 BLOCKLIST = ("spam-farm.example.org", "free-bets.example.com", "cheap-pills.example.com", "malware.example.net", "phishing.example.com")
 
 
@@ -56,7 +57,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.blocked(_table(spark, sf_dir, "pages"), spark.createDataFrame([(d,) for d in BLOCKLIST], "key string"))
+    pages = _table(spark, sf_dir, "pages")
+    some = pages.where(F.substring(F.sha2("url", 256), 1, 1).isin("0", "1")).select(F.explode(F.array("url", F.concat(F.lit("https://elsewhere.example/"), F.sha2("url", 256)))).alias("key"))
+    return urls.blocked(pages, some.union(spark.createDataFrame([(d,) for d in BLOCKLIST], "key string")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,13 +77,20 @@ def oracle_sql() -> dict[str, str]:
             WITH words AS (
                 SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
                 UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
-            tests AS (SELECT id, w, least(8, len(w)) AS k FROM words WHERE side = 'b' AND len(w) >= 5),
+            tests AS (SELECT id, w, least(8, len(w)) AS k FROM words WHERE side = 'b' AND (len(w) >= 5 OR length(array_to_string(w, '')) >= 24)),
             grams AS (SELECT DISTINCT id, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM tests)),
             sizes AS (SELECT DISTINCT k FROM tests),
             runs AS (SELECT DISTINCT id, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(w) >= k))
             SELECT runs.id AS doc_id, grams.id AS item_id, count(DISTINCT gram) AS passages FROM runs JOIN grams USING (gram) GROUP BY ALL""",
         "op10_url_filter": rf"""
-            WITH hosts AS (SELECT page_id, url, nullif(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1), '') AS host FROM pages)
-            SELECT page_id, url, host, coalesce(bool_or(host = d OR ends_with(host, '.' || d)), false) AS blocked
-            FROM hosts LEFT JOIN (VALUES {listed}) AS listed(d) ON true GROUP BY ALL""",
+            WITH p AS (
+                SELECT page_id, url, nullif(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1), '') AS host,
+                    regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://[^/?#\s]+([^#\s]*)', 1), '/$', '') AS rest FROM pages),
+            c AS (SELECT *, string_split(host, '.') AS parts, regexp_replace(host, '^www\.', '') || rest AS canonical FROM p),
+            listed AS (
+                SELECT CASE WHEN rest = '' THEN host ELSE canonical END AS key FROM c WHERE host IS NOT NULL AND substr(sha256(url), 1, 1) IN ('0', '1')
+                UNION SELECT * FROM (VALUES {listed})),
+            keys AS (SELECT page_id, url, unnest(list_append([array_to_string(parts[i:], '.') FOR i IN range(1, len(parts) + 1)], canonical)) AS key FROM c WHERE host IS NOT NULL),
+            hits AS (SELECT DISTINCT page_id, url, true AS hit FROM keys SEMI JOIN listed ON keys.key = listed.key)
+            SELECT c.page_id, c.url, host, coalesce(hit, false) AS blocked FROM c LEFT JOIN hits ON c.page_id IS NOT DISTINCT FROM hits.page_id AND c.url = hits.url""",
     }

@@ -6,11 +6,12 @@ level 3 the listed ones that level 2 claims, and so on until a level claims noth
 then listed exactly if the first level that denies it is an even one (or, where none denies it, the number of levels is odd). Looking pages
 up is map only: hashes are made in the JVM, and no key is joined or sent to Python.
 
-The bits for the listed keys and their false positives are sent to the executors: about 1.44 * (log2(others / listed) + 3)
-bits for each listed key that occurs in the corpus. Beyond ``SEND_BYTES`` an exact semi-join does the work instead.
+The levels take about 1.44 * (log2(others / listed) + 3) bits for each listed key that occurs in the corpus. They lie in files of the shared folder that the
+executors map into memory. Keys are cut into shards by their hashes, each with a cascade of ``SHARD_BYTES`` at most, which are built one after the other,
+so that the driver holds one of them whatever the list's size is.
 
 Cases: a null URL, or one without a host, has no keys and isn't blocked; letters' case, user, port and fragment don't count;
-listed keys that don't occur cost nothing; an empty list blocks nothing; repeated rows are judged alike.
+listed keys that don't occur cost nothing; an empty list blocks nothing; repeated rows are judged alike; page ids that aren't integers raise.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import Shared, cut
 
-SEND_BYTES = 256 << 20
-#: Keys from which on a level is built on the executors; fewer are a few MB and are handled on the driver.
+#: Bytes of a shard's cascade, about.
+SHARD_BYTES = 128 << 20
+#: Keys from which on, on either side, a level is built on the executors; fewer are a few MB and are handled on the driver.
 LOCAL = 200_000
 _LEVELS = 200
 
@@ -115,9 +117,32 @@ class Cascade:
         out[open_] = len(self.levels) % 2 == 1
         return out
 
-    @property
-    def bytes(self) -> int:
-        return sum(x.words.nbytes for x in self.levels)
+
+class Shards:
+    """The cascades of all shards, in files. A key's shard is told by its second hash."""
+
+    def __init__(self, files: list[tuple[Shared, list[tuple[int, int, int]]]]):
+        """files: of each shard the file, and bits, probes and salt of its levels."""
+        self.files, self.cascades = files, []
+        for file, levels in files:
+            at, own = 0, []
+            for bits, probes, salt in levels:
+                own.append(Level(bits, probes, salt, file.array(np.uint64, bits // 64, at)))
+                at += bits // 8
+            self.cascades.append(Cascade(own))
+
+    def __reduce__(self):
+        return Shards, (self.files,)
+
+    def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        if len(self.cascades) == 1:
+            return self.cascades[0].listed(h1, h2)
+        out = np.zeros(len(h1), dtype=bool)
+        shard = h2 % len(self.cascades)
+        for k, cascade in enumerate(self.cascades):
+            own = np.flatnonzero(shard == k)
+            out[own] = cascade.listed(h1[own], h2[own])
+        return out
 
 
 def _fill(level: Level, members: DataFrame) -> None:
@@ -144,37 +169,55 @@ def _pairs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column("h1").to_numpy(), t.column("h2").to_numpy()
 
 
-def build(universe: DataFrame) -> Cascade | None:
-    """The cascade for a universe (h1, h2, listed) of distinct keys; None if it would exceed SEND_BYTES."""
-    listed, others = universe.where("listed"), universe.where("not listed")
+def build(universe: DataFrame) -> Shards:
+    """The cascades for a universe (h1, h2, listed) of distinct keys."""
+    spark = universe.sparkSession
+    n, rest = _sizes(universe)
+    wrong = _first_rate(n, rest)
+    shards = max(1, -(-int(Level.sized(1000, wrong, 0).bits / 8000 * n + n) // SHARD_BYTES))
+    files = []
+    for k in range(shards):
+        own = universe if shards == 1 else universe.where(F.pmod("h2", F.lit(shards)) == k)
+        levels = cascade(own).levels
+        files.append((Shared.write(spark, "cascade", (x.words.tobytes() for x in levels)), [(x.bits, x.probes, x.salt) for x in levels]))
+    return Shards(files)
+
+
+def _sizes(universe: DataFrame) -> tuple[int, int]:
     count = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
-    n, rest = count.get(True, 0), count.get(False, 0)
+    return count.get(True, 0), count.get(False, 0)
+
+
+def _first_rate(n: int, rest: int) -> float:
+    """The share of other keys that level 1 may claim."""
+    return min(0.5, max(1e-9, 0.7 * n / max(rest, 1)))
+
+
+def cascade(universe: DataFrame) -> Cascade:
+    """The cascade for a universe (h1, h2, listed) of distinct keys, whose levels the driver can hold."""
+    members, other = universe.where("listed"), universe.where("not listed")
+    n_members, n_other = _sizes(universe)
+    wrong = _first_rate(n_members, n_other)
     levels: list[Level] = []
-    if not n:
-        return Cascade([])
-    wrong = min(0.5, max(1e-9, 0.7 * n / max(rest, 1)))
-    if Level.sized(1000, wrong, 0).bits / 8000 * n + n > SEND_BYTES:
-        return None
-    members, n_members, other = listed, n, others
     while n_members:
         if len(levels) >= _LEVELS:
             raise RuntimeError("two keys of the universe have the same hashes")
-        if n_members <= LOCAL and len(levels) >= 1:
+        if max(n_members, n_other) <= LOCAL:
             (m1, m2), (o1, o2) = _pairs(members), _pairs(other)
-            while len(m1):
-                level = Level.sized(len(m1), 0.5, len(levels))
+            while len(m1) and len(levels) < _LEVELS:
+                level = Level.sized(len(m1), 0.5 if levels else wrong, len(levels))
                 level.add(m1, m2)
                 levels.append(level)
                 c = level.claims(o1, o2)
                 (m1, m2), (o1, o2) = (o1[c], o2[c]), (m1, m2)
-                if len(levels) >= _LEVELS:
-                    raise RuntimeError("two keys of the universe have the same hashes")
+            if len(m1):
+                raise RuntimeError("two keys of the universe have the same hashes")
             break
-        level = Level.sized(n_members, wrong if not levels else 0.5, len(levels))
+        level = Level.sized(n_members, 0.5 if levels else wrong, len(levels))
         _fill(level, members)
         levels.append(level)
         claimed = _claimed(level, other)
-        members, n_members, other = claimed, claimed.count(), members
+        members, n_members, other, n_other = claimed, claimed.count(), members, n_members
     return Cascade(levels)
 
 
@@ -182,19 +225,14 @@ def blocked(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url
     """(page_id, url, host, blocked) of every page: whether one of its keys is in the list.
 
     listed: hosts, domains (which cover their subdomains) or URLs, in any case, with or without scheme, port and final slash.
-    A URL without path and query stands for its host.
+    A URL without path and query stands for its host. The list may be of any size.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumn("keys", keys(F.col("url")))
     every = rows.select(F.explode("keys").alias("key")).distinct()
     entries = listed.select(entry_key(F.col(key_col).cast("string")).alias("key")).where("key is not null").distinct().withColumn("listed", F.lit(True))
     h1, h2 = _hashes(F.col("key"))
     universe = cut(every.join(entries, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), F.coalesce("listed", F.lit(False)).alias("listed")))
-    cascade = build(universe)
-    if cascade is None:
-        hits = universe.where("listed").select("key")
-        bad = rows.select("page_id", "url", F.explode("keys").alias("key")).join(hits, "key", "left_semi").select("page_id", "url").distinct().withColumn("bad", F.lit(True))
-        return rows.alias("r").join(bad.alias("b"), F.col("r.page_id").eqNullSafe(F.col("b.page_id")) & F.col("r.url").eqNullSafe(F.col("b.url")), "left").select("r.page_id", "r.url", host(F.col("r.url")).alias("host"), F.coalesce("bad", F.lit(False)).alias("blocked"))
-    sent = pages.sparkSession.sparkContext.broadcast(cascade)
+    sent = pages.sparkSession.sparkContext.broadcast(build(universe))
 
     def any_listed(first: pa.Array, second: pa.Array) -> pa.Array:
         offsets = first.offsets.to_numpy()
