@@ -6,7 +6,8 @@ the document's id and its length in tokens delta encoded; row groups have a set
 that a reader of some documents, or of the metadata only, reads the pages it needs.
 
 Cases: a null text has null ids and length; an empty text has an empty list and length 0; strings that look like special tokens are
-ordinary text; rows that repeat are written each; an empty table gives an empty table.
+ordinary text; rows that repeat are written each, those with a null id too; an empty table gives an empty table; columns to keep can't have the names of
+the table's own (ValueError), and other columns are left out; ids that aren't integers raise.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ class Encoder:
 
 def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source", "lang"), vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, the columns to keep, n_tokens, tokens) of every document."""
+    if clash := {"doc_id", "n_tokens", "tokens"} & {c.lower() for c in keep}:
+        raise ValueError(f"the token table has its own columns {sorted(clash)}")
     encoder = Encoder(vocabulary)
 
     def each(texts: pa.Array) -> pa.Array:
