@@ -11,7 +11,7 @@ what lies within t bits of a partition's value, each signature is sent to all va
 so that two near ones meet; those that meet are verified on all bits. Signatures that are equal are one from the start.
 
 Cases: null texts and texts without a word have no signature and no near duplicates; rows that repeat are near
-duplicates at distance 0; documents with a null id aren't paired; an empty table gives no rows.
+duplicates at distance 0; documents with a null id aren't paired; an empty table gives no rows; ids that aren't integers raise.
 """
 
 from __future__ import annotations
@@ -313,10 +313,12 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     The texts are read once; only signatures travel. Equal signatures meet first, then distinct ones by their probes.
     """
     own = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.arrow_udf(_sign, _SIG)(utf8(text_col)).alias("s")).select("doc_id", "s.a", "s.b").where("doc_id is not null and a is not null"))
-    sigs = cut(own.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    # The checkpoint fixes the numbers of the signatures, so that two never share one as hashes could.
+    sigs = cut(own.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     found = links(sigs, plan(sigs, tau), tau, tau_both)
-    linked = components(found.select(F.xxhash64("a1", "b1").alias("u"), F.xxhash64("a2", "b2").alias("v")))
-    placed = sigs.withColumn("node", F.xxhash64("a", "b")).join(linked, "node", "left").withColumn("one", F.coalesce("root", "node")).select("a", "b", "rep", "n", "one")
+    for end, name in (("1", "u"), ("2", "v")):
+        found = found.join(sigs.select(F.col("a").alias(f"a{end}"), F.col("b").alias(f"b{end}"), F.col("node").alias(name)), [f"a{end}", f"b{end}"])
+    placed = sigs.join(components(found.select("u", "v")), "node", "left").withColumn("one", F.coalesce("root", "node")).select("a", "b", "rep", "n", "one")
     heads = placed.groupBy("one").agg(F.min("rep").alias("root"), F.sum("n").alias("docs")).where("docs > 1")
     return own.join(placed.join(heads, "one").select("a", "b", heads["root"]), ["a", "b"]).select("doc_id", "a", "b", "root")
 
