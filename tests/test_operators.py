@@ -145,3 +145,14 @@ def test_owner_from_context(spark):
     assert {x.token: x.owner for x in cluster.owners_by_context(o, r).collect()} == {"a": "nav-item", "b": "sidebar", "c": None}
     with pytest.raises(RuntimeError):
         cluster.preflight({"css": True, "compiler": False})
+
+
+def test_subsets_of_wide_and_narrow_bundles_against_brute_force(spark):
+    """Bundles on both sides of the listing limit, equal ones, and cores of one item."""
+    r = random.Random(4)
+    rows = [(k, r.sample(range(24), r.choice([1, 2, 3, 5, 12, 13, 16, 20]))) for k in range(120)]
+    rows += [(200 + k, rows[k][1][: len(rows[k][1]) // 2 + 1]) for k in range(60)] + [(300, rows[0][1] * 2), (301, None)]
+    got = mining.subsets(spark.createDataFrame(rows, "k bigint, xs array<int>"), key="k", items="xs", least=1)
+    own = [(k, set(xs)) for k, xs in rows if xs]
+    want = sorted((a, b, len(y) - len(x)) for a, x in own for b, y in own if x < y)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50

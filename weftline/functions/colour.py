@@ -36,16 +36,23 @@ def oklch_rgb(text: Column) -> Column:
     form = r"^\s*oklch\(\s*([0-9.]+)(%?)\s+([0-9.]+)\s+([0-9.]+)"
     number = lambda k: F.regexp_extract(text, form, k).try_cast("double")
     light = number(1) / F.when(F.regexp_extract(text, form, 2) == "%", 100.0).otherwise(1.0)
-    a, b = number(3) * F.cos(F.radians(number(4))), number(3) * F.sin(F.radians(number(4)))
-    cube = lambda x, y: F.pow(light + x * a + y * b, 3)
-    l, m, s = cube(0.3963377774, 0.2158037573), cube(-0.1055613458, -0.0638541728), cube(-0.0894841775, -1.2914855480)
+    # Each step is bound once, so that the expression doesn't multiply.
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    polar = F.struct(light.alias("l"), number(3).alias("c"), F.radians(number(4)).alias("h"))
 
-    def channel(p: float, q: float, r: float) -> Column:
-        linear = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p * l + q * m + r * s))
-        shown = F.when(linear <= 0.0031308, 12.92 * linear).otherwise(1.055 * F.pow(linear, 1 / 2.4) - 0.055)
-        return F.bround(shown * 255)
+    def cones(p: Column) -> Column:
+        a, b = p["c"] * F.cos(p["h"]), p["c"] * F.sin(p["h"])
+        cube = lambda x, y: F.pow(p["l"] + x * a + y * b, 3)
+        return F.struct(cube(0.3963377774, 0.2158037573).alias("l"), cube(-0.1055613458, -0.0638541728).alias("m"), cube(-0.0894841775, -1.2914855480).alias("s"))
 
-    return F.when(text.rlike(form), rgb(channel(4.0767416621, -3.3077115913, 0.2309699292), channel(-1.2684380046, 2.6097574011, -0.3413193965), channel(-0.0041960863, -0.7034186147, 1.7076147010)))
+    def shown(v: Column) -> Column:
+        return F.bround(255 * F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, 1 / 2.4) - 0.055))
+
+    def channels(q: Column) -> Column:
+        linear = lambda x, y, z: bound(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x * q["l"] + y * q["m"] + z * q["s"])), shown)
+        return rgb(linear(4.0767416621, -3.3077115913, 0.2309699292), linear(-1.2684380046, 2.6097574011, -0.3413193965), linear(-0.0041960863, -0.7034186147, 1.7076147010))
+
+    return F.when(text.rlike(form), bound(bound(polar, cones), channels))
 
 
 def parse(text: Column) -> Column:

@@ -54,19 +54,33 @@ def dispositions(df: DataFrame, rules: list[tuple[str, Column]], rest: str) -> D
     return own.withColumn("total", F.sum("n").over(Window.partitionBy()))
 
 
+#: Items up to which a bundle's subsets are listed (4,095 at most).
+_LISTED = 12
+
+
 def subsets(bundles: DataFrame, *, key: str, items: str, least: int = 2) -> DataFrame:
-    """(core, whole, extras): pairs of bundles of which one's items are all among the other's.
+    """(core, whole, extras): pairs of bundles of which one's items are all among the other's, and fewer.
 
-    Bundles meet on the core's rarest item, so that a pair is formed only if it can hold.
+    Equal bundles count once until the end. A bundle lists its subsets, which meet the bundles that are equal to them: every meeting is a pair.
+    Bundles of more than ``_LISTED`` items are met through the core's two rarest items and compared.
     """
-    own = bundles.select(F.col(key).alias("k"), F.array_distinct(items).alias("xs")).where(F.size("xs") >= least)
-    flat = own.select("k", "xs", F.explode("xs").alias("x"))
-    counts = flat.groupBy("x").agg(F.count("*").alias("n"))
-    rarest = flat.select("k", "x").join(counts, "x").groupBy("k").agg(F.min(F.struct("n", "x")).alias("r")).select("k", F.col("r.x").alias("x"))
-    cores = own.join(rarest, "k").select(F.col("k").alias("core"), F.col("xs").alias("cx"), "x")
-    wholes = flat.select(F.col("k").alias("whole"), F.col("xs").alias("wx"), "x")
-    met = cores.join(wholes, "x").where((F.col("core") != F.col("whole")) & (F.size("cx") < F.size("wx")) & (F.size(F.array_except("cx", "wx")) == 0))
-    return met.select("core", "whole", F.size(F.array_except("wx", "cx")).alias("extras"))
+    own = bundles.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(items)).alias("xs")).where(F.size("xs") >= least)
+    kinds = own.select("xs").distinct()
+    bits = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("xs")) - 2)
+    masks = F.filter(bits, lambda m: F.bit_count(m) >= least)
+    chosen = F.transform(masks, lambda m: F.filter(F.col("xs"), lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+    listed = kinds.where((F.size("xs") <= _LISTED) & (F.size("xs") > least)).select(F.col("xs").alias("wx"), F.explode(chosen).alias("cx"))
+    narrow = listed.join(kinds.select(F.col("xs").alias("cx")), "cx", "left_semi")
+    wide = kinds.where(F.size("xs") > _LISTED)
+    counts = kinds.select(F.explode("xs").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    ranked = kinds.select("xs", F.explode("xs").alias("x")).join(counts, "x").groupBy("xs").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "x"))), 1, 2).alias("r"))
+    cores = ranked.select(F.col("xs").alias("cx"), F.array_sort(F.transform("r", lambda r: r["x"])).alias("meet"))
+    pairs = F.flatten(F.transform("xs", lambda a, i: F.transform(F.slice(F.col("xs"), i + 2, F.size("xs")), lambda b: F.array(a, b))))
+    met = wide.select(F.col("xs").alias("wx"), F.explode(F.concat(pairs, F.transform("xs", lambda x: F.array(x)))).alias("meet")).join(cores, "meet")
+    wider = met.where((F.size("cx") < F.size("wx")) & (F.size(F.array_except("cx", "wx")) == 0)).select("wx", "cx")
+    found = narrow.select("wx", "cx").union(wider)
+    whole = found.join(own.select(F.col("k").alias("whole"), F.col("xs").alias("wx")), "wx")
+    return whole.join(own.select(F.col("k").alias("core"), F.col("xs").alias("cx")), "cx").select("core", "whole", (F.size("wx") - F.size("cx")).alias("extras"))
 
 
 def concentration(counts: DataFrame, *, key: str, n: str) -> DataFrame:

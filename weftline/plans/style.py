@@ -22,22 +22,32 @@ def hardcode_lines(source: DataFrame, *, allow: DataFrame | None = None, brand:
 
     Lines with the inline escape, of allowed paths (globs in which * crosses slashes), and with a brand's pattern don't count.
     """
-    own = T.lines(source).where(~F.col("content").contains("ds-allow:"))
-    if allow is not None:
-        paths = source.select("path").distinct()
-        free = paths.join(allow.select(glob_regex(F.col("pattern")).alias("rx")), F.expr("path rlike rx"), "left_semi")
-        own = own.join(free, "path", "left_anti")
-    if brand:
-        own = own.where(~F.col("content").rlike(f"(?i){brand}"))
-    hits = [F.when(F.col("content").rlike(rx) & (~F.col("content").rlike(out) if out else F.lit(True)), F.lit(d)) for d, rx, out in model.HARDCODE]
+    own = T.lines(_watched(source, allow)).where(_counts(F.col("content"), brand))
+    hits = [F.when(_hit(F.col("content"), rx, out), F.lit(d)) for d, rx, out in model.HARDCODE]
     return own.select(F.explode(F.array_compact(F.array(*hits))).alias("dim"), "path", "line", "content")
 
 
-def hardcode_counts(source: DataFrame, **kw) -> DataFrame:
-    """(dim, value) with zeros and the total (A06); counted from the very lines that ``hardcode_lines`` lists."""
-    dims = source.sparkSession.createDataFrame([(d,) for d, _, _ in model.HARDCODE], "dim string")
-    counts = dims.join(hardcode_lines(source, **kw).groupBy("dim").agg(F.count("*").alias("n")), "dim", "left").select("dim", F.coalesce("n", F.lit(0)).alias("value"))
-    return gates.with_total(counts)
+def _watched(source: DataFrame, allow: DataFrame | None) -> DataFrame:
+    """The files that no glob allows. Globs are a short list, written by hand; they become one pattern, so that no join is needed."""
+    globs = [] if allow is None else [r["rx"] for r in allow.select(glob_regex(F.col("pattern")).alias("rx")).distinct().collect()]
+    return source.where(~F.col("path").rlike("|".join(f"(?:{rx})" for rx in sorted(globs)))) if globs else source
+
+
+def _counts(content: Column, brand: str | None) -> Column:
+    own = ~content.contains("ds-allow:")
+    return own & ~content.rlike(f"(?i){brand}") if brand else own
+
+
+def _hit(content: Column, rx: str, out: str | None) -> Column:
+    return content.rlike(rx) & ~content.rlike(out) if out else content.rlike(rx)
+
+
+def hardcode_counts(source: DataFrame, *, allow: DataFrame | None = None, brand: str | None = None) -> DataFrame:
+    """(dim, value) with zeros and the total (A06): how many lines ``hardcode_lines`` lists, counted within each file. A file without any match isn't cut into lines."""
+    counted = lambda rx, out: F.size(F.filter(F.split("text", "\n"), lambda x: _counts(x, brand) & _hit(x, rx, out))).cast("bigint")
+    each = [F.coalesce(F.sum(F.when(F.col("text").rlike(rx), counted(rx, out))), F.lit(0)).alias(d) for d, rx, out in model.HARDCODE]
+    row = _watched(source, allow).agg(*each)
+    return gates.with_total(row.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(f"`{d}`").alias("value")) for d, _, _ in model.HARDCODE))).alias("x")).select("x.*"))
 
 
 _ROLES = "accent|code-hover|delete-hover|destructive|disable-hover|error|info|premium|primary|selected|success|transparent|warning"

@@ -58,24 +58,6 @@ def P02_tag_class_census(spark: SparkSession, sf: str) -> DataFrame:
     return text.matches(table(spark, sf, "pages").select("html"), "html", 'class="([^"]*)"', 1).groupBy("name").agg(F.count("*").alias("n"))
 
 
-_DIMS = (("bang", r"[A-Z]+!!"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("mail", r"[a-z0-9]+@[a-z0-9]+\.[a-z]+"), ("pipe", r" \| "), ("sign", r"[a-z](%%%|&&&|###)"))
-
-
-@query(f"""
-    WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS content FROM documents)
-    SELECT 'bang' AS dim, count(*) FILTER (regexp_matches(content, '{_DIMS[0][1]}')) AS value FROM lines
-    UNION ALL SELECT 'ip', count(*) FILTER (regexp_matches(content, '{_DIMS[1][1]}')) FROM lines
-    UNION ALL SELECT 'mail', count(*) FILTER (regexp_matches(content, '{_DIMS[2][1]}')) FROM lines
-    UNION ALL SELECT 'pipe', count(*) FILTER (regexp_matches(content, '{_DIMS[3][1]}')) FROM lines
-    UNION ALL SELECT 'sign', count(*) FILTER (regexp_matches(content, '{_DIMS[4][1]}')) FROM lines
-    UNION ALL SELECT 'TOTAL', count(*) FILTER (regexp_matches(content, '{_DIMS[0][1]}')) + count(*) FILTER (regexp_matches(content, '{_DIMS[1][1]}')) + count(*) FILTER (regexp_matches(content, '{_DIMS[2][1]}')) + count(*) FILTER (regexp_matches(content, '{_DIMS[3][1]}')) + count(*) FILTER (regexp_matches(content, '{_DIMS[4][1]}')) FROM lines""")
-def F12_dimension_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines by dimension, with a total: one pass over the lines, no join with the dimensions."""
-    content = text.lines(table(spark, sf, "documents"), keep=())
-    own = content.agg(*(F.count_if(F.col("content").rlike(rx)).alias(d) for d, rx in _DIMS))
-    return gates.with_total(own.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d, _ in _DIMS))).alias("x")).select("x.*"))
-
-
 @query("""
     SELECT 'brand' AS axis, count(DISTINCT p_brand) AS value FROM part
     UNION ALL SELECT 'type', count(DISTINCT p_type) FROM part
@@ -151,15 +133,6 @@ def J08_full_outer_states(spark: SparkSession, sf: str) -> DataFrame:
     return sets.pairing(side("o_orderdate < timestamp'1995-01-01'"), side("o_orderdate >= timestamp'1995-01-01'"), "key", "v")
 
 
-@query("""
-    SELECT r_name || '::theme/' || n_name || '::event/' || event_type AS id, r_name, n_name, event_type
-    FROM region, nation, (SELECT DISTINCT event_type FROM events)""")
-def J24_matrix_cross(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = table(spark, sf, "events").select("event_type").distinct()
-    own = table(spark, sf, "region").select("r_name").crossJoin(table(spark, sf, "nation").select("n_name")).crossJoin(kinds)
-    return own.select(F.concat("r_name", F.lit("::theme/"), "n_name", F.lit("::event/"), "event_type").alias("id"), "r_name", "n_name", "event_type")
-
-
 @query("""
     WITH k AS (SELECT o_orderkey AS id, 1 AS e, 0 AS p FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem WHERE l_returnflag <> 'R'),
     s AS (SELECT id, sum(e) AS e, sum(p) AS p FROM k GROUP BY id)
@@ -198,24 +171,6 @@ def R03_direction(spark: SparkSession, sf: str) -> DataFrame:
     return gates.ratchet(now, base, unknown="current")
 
 
-@query("""
-    SELECT user_id, event_id, value, before FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE value <= before""")
-def W02_lag_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    own = table(spark, sf, "events").select("user_id", "event_id", "value", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
-    return own.where("value <= before")
-
-
-@query("""
-    SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) % 2 = 1 AS open FROM conversations""")
-def W01_running_parity(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "conversations").select("conv_id", "turn", (F.sum((F.col("role") == "user").cast("int")).over(order) % 2 == 1).alias("open"))
-
-
 @query("""
     WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS s, o_orderkey % 1500 AS d FROM orders),
     r(node, hops) AS (SELECT c_custkey, 0 FROM customer WHERE c_nationkey = 3 UNION SELECT CAST(e.d AS BIGINT), hops + 1 FROM r JOIN e ON r.node = e.s WHERE hops < 60)
@@ -230,7 +185,7 @@ def G05_reachability(spark: SparkSession, sf: str) -> DataFrame:
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(id, x) AS (SELECT a, a FROM u UNION SELECT u.b, r.x FROM r JOIN u ON r.id = u.a)
     SELECT id, min(x) AS root FROM r GROUP BY id""")
-def D07_fixpoint_components(spark: SparkSession, sf: str) -> DataFrame:
+def G05_components(spark: SparkSession, sf: str) -> DataFrame:
     """Orders that a customer connects, by the least of them."""
     pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey").cast("bigint") + 10_000_000_000).alias("b"))
     return graphs.components(pairs)
@@ -245,13 +200,6 @@ def D19_ngram_savings(spark: SparkSession, sf: str) -> DataFrame:
     return mining.savings(table(spark, sf, "benchmark"), words, key="item_id")
 
 
-@query("""
-    SELECT part, count(*) AS n, (SELECT count(*) FROM lineitem) AS total FROM (
-        SELECT CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_discount > 0.05 THEN 'discounted' WHEN l_quantity >= 30 THEN 'bulk' ELSE 'rest' END AS part FROM lineitem) GROUP BY part""")
-def D22_partition_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.dispositions(table(spark, sf, "lineitem"), [("returned", F.col("l_returnflag") == "R"), ("discounted", F.col("l_discount") > 0.05), ("bulk", F.col("l_quantity") >= 30)], "rest")
-
-
 @query("""
     WITH b AS (SELECT l_orderkey AS k, list_distinct(list(l_suppkey % 20)) AS xs FROM lineitem GROUP BY 1),
     o AS (SELECT k, xs FROM b WHERE len(xs) >= 4)
@@ -359,11 +307,3 @@ def A13_severest_verdict(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY l_partkey HAVING count(*) > 1")
 def A10_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return sets.duplicates(table(spark, sf, "lineitem"), "l_partkey")
-
-
-@query("""
-    SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
-def W06_last_write_wins(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    return sets.first_by(own, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).drop("o_orderdate")
-

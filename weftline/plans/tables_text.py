@@ -16,15 +16,6 @@ from weftline.sources import files
 from weftline.sources.sinks import tally_faults
 
 
-@query("""
-    SELECT doc_id, len(string_split(text, chr(10))) AS lines,
-        len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS blank FROM documents""")
-def P01_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines and blank lines of each document: split on line ends only, so that a last one counts."""
-    parts = F.split("text", "\n")
-    return table(spark, sf, "documents").select("doc_id", F.size(parts).cast("bigint").alias("lines"), F.size(F.filter(parts, lambda x: F.trim(x) == "")).cast("bigint").alias("blank"))
-
-
 @query(r"""
     WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
     SELECT page_id, string_split(href, '#')[1] AS target, count(*) AS n FROM h
@@ -80,31 +71,12 @@ def F19_valid_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", text.is_scenario(F.col("text")).alias("valid"))
 
 
-@query("""
-    SELECT doc_id, signal FROM (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '[A-Z]+!!') THEN 'shout' END, CASE WHEN regexp_matches(text, '[0-9]{3} [0-9]{3}-[0-9]{4}') THEN 'call' END, CASE WHEN regexp_matches(text, 'Licensed under') THEN 'licence' END], lambda x: x IS NOT NULL)) AS signal FROM documents)""")
-def F22_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """The signals of each text, by a table of patterns in one pass."""
-    rules = (("shout", "[A-Z]+!!"), ("call", "[0-9]{3} [0-9]{3}-[0-9]{4}"), ("licence", "Licensed under"))
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(rx), F.lit(s)) for s, rx in rules)))
-    return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("signal"))
-
-
 @query("""
     SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN text LIKE '%!!%' THEN 'shouting' WHEN lang <> 'en' THEN 'foreign' ELSE 'plain' END AS part, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1""")
 def D23_terminal_disposition(spark: SparkSession, sf: str) -> DataFrame:
     return mining.dispositions(table(spark, sf, "documents"), [("short", F.col("n_chars") < 200), ("shouting", F.col("text").contains("!!")), ("foreign", F.col("lang") != "en")], "plain")
 
 
-@query("""
-    SELECT 'quality' AS kind, count(*) FILTER (quality = 0) AS n FROM labels UNION ALL SELECT 'toxic', count(*) FILTER (toxic = 1) FROM labels UNION ALL SELECT 'unknown', count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)""")
-def A01_count_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of several checks in one stream, counted by kind."""
-    labels = table(spark, sf, "labels")
-    lost = labels.join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("unknown"))
-    own = labels.agg(F.count_if(F.col("quality") == 0).alias("quality"), F.count_if(F.col("toxic") == 1).alias("toxic")).crossJoin(lost)
-    return own.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("quality", "toxic", "unknown")))).alias("x")).select("x.*")
-
-
 @query("""
     SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id""")
 def A09_state_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,15 +84,6 @@ def A09_state_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(*(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
 
 
-@query("""
-    SELECT url_host AS host, list_sort(list_distinct(list(lang))) AS langs, max_by(page_id, page_id) AS last FROM (
-        SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS url_host, regexp_extract(url, '^[a-z]+://[^/?#]+/([a-z]+)', 1) AS lang FROM pages) GROUP BY 1""")
-def A11_merge_by_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorted unions by key, and the last one in order."""
-    own = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/([a-z]+)", 1).alias("lang"))
-    return own.groupBy("host").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.max("page_id").alias("last"))
-
-
 @query("""
     SELECT name, min_by(page_id, url) AS page_id, min(url) AS url FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name, page_id, url FROM pages) GROUP BY name""")
 def A07_first_location(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,14 +115,6 @@ def J07_own_else_base(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("n_nationkey", F.coalesce(F.when(F.col("r_regionkey") > 2, F.col("n_name")), F.col("r_name")).alias("shown"))
 
 
-@query("""
-    SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'orphan' WHEN l.doc_id IS NULL THEN 'missing-metadata' ELSE 'ok' END AS status
-    FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
-def J10_pair_by_stem(spark: SparkSession, sf: str) -> DataFrame:
-    left, right = (table(spark, sf, n).select(F.col("doc_id").alias(k)).distinct() for n, k in (("documents", "d"), ("labels", "l")))
-    return left.join(right, F.col("d") == F.col("l"), "full").select(F.coalesce("d", "l").alias("id"), F.when(F.col("d").isNull(), "orphan").when(F.col("l").isNull(), "missing-metadata").otherwise("ok").alias("status"))
-
-
 @query("""
     SELECT c_nationkey, c_mktsegment, count(*) AS n, CASE WHEN reason IS NULL THEN 'unwaived' ELSE 'waived' END AS state FROM customer
     LEFT JOIN (VALUES (3, 'BUILDING', 'moved'), (7, 'MACHINERY', 'agreed')) w(k, s, reason) ON c_nationkey = k AND c_mktsegment = s GROUP BY ALL""")
@@ -170,14 +125,6 @@ def J12_waivers(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(waivers, ["c_nationkey", "c_mktsegment"], "left").select("c_nationkey", "c_mktsegment", "n", F.when(F.col("reason").isNull(), "unwaived").otherwise("waived").alias("state"))
 
 
-@query("""
-    SELECT o_custkey, min(CAST(l_linenumber AS INT)) AS hops, count(DISTINCT l_suppkey) AS reached FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey""")
-def J13_least_hops(spark: SparkSession, sf: str) -> DataFrame:
-    """For each key what it reaches through a relation, at the least distance."""
-    own = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return own.groupBy("o_custkey").agg(F.min("l_linenumber").cast("int").alias("hops"), F.countDistinct("l_suppkey").alias("reached"))
-
-
 @query("""
     WITH p AS (SELECT conv_id, list_distinct(list(role)) AS roles FROM conversations GROUP BY 1)
     SELECT conv_id, list_sort(list_filter(['assistant', 'system', 'user'], lambda x: NOT list_contains(roles, x))) AS missing, list_sort(list_filter(roles, lambda x: NOT list_contains(['assistant', 'system', 'user'], x))) AS unexpected FROM p""")
@@ -215,12 +162,6 @@ def U10_first_finding(spark: SparkSession, sf: str) -> DataFrame:
     return sets.first_by(own, ["l_orderkey", "l_suppkey"], F.col("l_linenumber"), F.col("l_partkey")).drop("l_partkey")
 
 
-@query("""
-    SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events""")
-def W03_occurrence_number(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")).cast("bigint").alias("nth"))
-
-
 @query(r"""
     SELECT doc_id, regexp_replace(text, '\n[ \t]*(\n[ \t]*)+\n', chr(10) || chr(10), 'g') = text AS single, len(list_filter(list_zip(ls[1:len(ls) - 1], ls[2:]), lambda x: trim(x[1]) = '' AND trim(x[2]) = '')) AS runs
     FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)""")
@@ -268,18 +209,3 @@ def X10_content_digest(spark: SparkSession, sf: str) -> DataFrame:
 def X14_class_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Order-free keys that keep repeats, and names as CSS selectors."""
     return table(spark, sf, "part").select("p_partkey", text.sorted_key(F.col("p_name")).alias("key"), text.selector(F.concat("p_type", F.lit(":"), "p_name", F.lit("/50%"))).alias("selector"))
-
-
-@query("""
-    SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS back FROM conversations) WHERE back <= 400 AND role = 'assistant'""")
-def S24_tail_by_role(spark: SparkSession, sf: str) -> DataFrame:
-    """What a role said in the last lines of each conversation."""
-    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("text"))
-    return table(spark, sf, "conversations").withColumn("back", F.row_number().over(back)).where("back <= 400 and role = 'assistant'").select("conv_id", "turn", "text")
-
-
-@query("""
-    SELECT count(DISTINCT l.doc_id) AS scanned, (SELECT count(*) FROM documents) AS eligible, count(DISTINCT l.doc_id) >= 0.8 * (SELECT count(*) FROM documents) AS enough FROM labels l SEMI JOIN documents d ON l.doc_id = d.doc_id""")
-def D21_scanned_share(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.lit(1).alias("r")).distinct(), "doc_id", "left")
-    return own.agg(F.countDistinct(F.when(F.col("r") == 1, F.col("doc_id"))).alias("scanned"), F.count("*").alias("eligible")).select("scanned", "eligible", (F.col("scanned") >= 0.8 * F.col("eligible")).alias("enough"))
