@@ -209,7 +209,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     slots = _slots(docs.sparkSession, schedule)
     blocks = lambda lo, hi: F.explode(F.sequence(F.expr(f"{lo} div {BLOCK}"), F.expr(f"({hi} - 1) div {BLOCK}")))
     d = placed.withColumn("block", blocks("lo", "hi")).alias("d")
-    s = slots.withColumn("block", blocks("begin", "stop")).alias("s")
+    # Both sides grow with the input: neither is sent whole.
+    s = slots.withColumn("block", blocks("begin", "stop")).hint("merge").alias("s")
     met = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.block") == F.col("s.block")) & (F.col("lo") < F.col("stop")) & (F.col("begin") < F.col("hi")))
     # What lies in several blocks on both sides meets in each, and counts where it begins.
     start, stop = F.greatest("lo", "begin"), F.least("hi", "stop")
