@@ -168,11 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).cast("bigint").alias("wl_id"), utf8(text_col).alias("wl_text")).where("wl_text is not null")
     # The sample has max_labelled rows at most, whatever the input: it is the side that is sent. Ids may come again, so its pairs are bounded too.
     rows = own.join(F.broadcast(some), "wl_id").select("*", F.xxhash64("wl_text").alias("wl_h")).orderBy(*order, "wl_h").limit(max_labelled)
-    found = rows.select("wl_id", "wl_grade", "wl_h", F.arrow_udf(_features_of, _FEATURES)("wl_text").alias("x")).collect()
-    found.sort(key=lambda r: (r["wl_id"], r["wl_grade"], r["wl_h"]))
-    at = np.repeat(np.arange(len(found)), [len(r["x"]["slots"]) for r in found])
-    slots, values = (np.array([v for r in found for v in r["x"][k]], t) for k, t in (("slots", np.int64), ("values", float)))
-    return fit_features(at, slots, values, [r["wl_grade"] for r in found], **kw)
+    found = rows.select("wl_id", "wl_grade", "wl_h", F.arrow_udf(_features_of, _FEATURES)("wl_text").alias("x")).toArrow()
+    found = found.take(pa.compute.sort_indices(found, [(k, "ascending") for k in ("wl_id", "wl_grade", "wl_h")]))
+    x = found.column("x").combine_chunks()
+    slots, values = x.field("slots"), x.field("values").flatten().to_numpy()
+    at = np.repeat(np.arange(len(found)), pa.compute.list_value_length(slots).to_numpy(zero_copy_only=False).astype(np.int64))
+    return fit_features(at, slots.flatten().to_numpy().astype(np.int64), values, found.column("wl_grade").to_numpy(), **kw)
 
 
 _FEATURES = "struct<slots: array<int>, values: array<double>>"
