@@ -120,10 +120,10 @@ def tally_faults(found: DataFrame, expected: DataFrame) -> DataFrame:
     return own.select("name", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("expected", F.lit(0)).alias("expected")).where("found != expected")
 
 
-def report(pairs: DataFrame, title: str, most: int = 500) -> str:
+def report(pairs: DataFrame, title: str) -> str:
     """A Markdown report of paired captures (key, state, signature): states first, then a section for each pair."""
     counts = {r["state"]: r["count"] for r in pairs.groupBy("state").count().collect()}
     out = [f"# {title}", "", *(f"- {k}: {v}" for k, v in sorted(counts.items())), ""]
-    for r in pairs.orderBy("key").limit(most).collect():
+    for r in pairs.orderBy("key").toLocalIterator():
         out += [f"## {r['key']}", "", f"State: {r['state']}", *(["", r["signature"]] if "signature" in pairs.columns and r["signature"] else []), ""]
     return "\n".join(out)
