@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import words
@@ -118,3 +119,92 @@ def test_exchange_goes_on_until_no_word_gains(spark):
             tried = model.classes.copy()
             tried[w] = c
             assert slow_likelihood(pairs, tried) <= base + 1e-5
+
+
+def test_contexts_are_blocks_that_hold_every_bigram(spark):
+    """A row is a block of words, so that a step of the exchange passes few rows to Python; no bigram is lost in them."""
+    own = [*texts(), None, "", "Odd, WORDS once.", "x " * 900]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string").repartition(4)
+    code = brown.train(docs, classes=6, rounds=0).lexicon
+    every = [[code[w] for w in (t or "").split()] for t in own]
+    pairs = Counter(p for c in every for p in itertools.pairwise([code.start, *c]))
+    groups = 3
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = brown.contexts(docs.select("text").where("text is not null"), code, groups, 10_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    assert len(rows) <= groups + 1 < len(code.words)
+    found = {True: Counter(), False: Counter()}
+    seen = []
+    for r in rows:
+        w = np.frombuffer(r["w"], np.int32)
+        seen += w.tolist()
+        assert all((r["turn"] < groups) == (c < len(code.words)) for c in w)
+        for after in (True, False):
+            sizes, o, n = brown._unside(pa.py_buffer(r["after" if after else "before"]))
+            for a, b, k in zip(np.repeat(w, sizes).tolist(), o.tolist(), n.tolist(), strict=True):
+                found[after][(a, b) if after else (b, a)] += k
+    assert len(seen) == len(set(seen)) and set(range(len(code.words))) <= set(seen)
+    assert found[True] == pairs
+    assert found[False] == Counter({p: k for p, k in pairs.items() if p[1] < len(code.words)})
+
+
+def test_changes_at_every_level_against_brute_force(spark, monkeypatch):
+    """Neighbours that move at different levels or at the same, repeated words, and more bigrams than a task holds at once."""
+    monkeypatch.setattr(brown, "_HELD", 40)
+    r, size = random.Random(3), 9
+    codes = 32
+    pairs = Counter((r.randrange(codes), r.randrange(codes)) for _ in range(900))
+    pairs[3, 3] = 70_000
+    blocks = []
+    for start in range(0, codes, 5):
+        own = range(start, min(start + 5, codes))
+        packed = []
+        for after in (True, False):
+            lists = [sorted((o, k) for (a, b), k in pairs.items() for mine, o in [(a, b) if after else (b, a)] if mine == w) for w in own]
+            flat = [x for x in itertools.chain(*lists)]
+            packed.append(bytearray(brown._side(np.array([len(x) for x in lists]), np.array([o for o, _ in flat]), np.array([k for _, k in flat]))))
+        blocks.append((bytearray(np.array(own, np.int32).tobytes()), *packed, 0))
+    table = spark.createDataFrame(blocks, brown._CONTEXTS)
+    classes = np.array([r.randrange(size) for _ in range(codes)], np.uint8)
+    moved = r.sample(range(codes), 13)
+    then, level, levels = classes.copy(), np.full(codes, -1, np.int8), 4
+    then[moved] = [r.randrange(size) for _ in moved]
+    for q in range(levels):
+        level[moved[: 13 >> q]] = q
+
+    def table_of(c):
+        n = np.zeros((size, size))
+        for (a, b), k in pairs.items():
+            n[c[a], c[b]] += k
+        return n
+
+    assert np.array_equal(brown.class_bigrams(table, classes, size), table_of(classes))
+    got = brown.changes(table, classes, then, level, levels, size)
+    for q in range(levels):
+        assert np.array_equal(got[q], table_of(np.where(level >= q, then, classes)) - table_of(classes))
+
+
+def test_moves_of_many_words_against_brute_force():
+    """Counts over and under those that are looked up, loops, words without a neighbour on one side."""
+    r = random.Random(8)
+    size, movable, codes = 7, 5, 24
+    classes = np.array([r.randrange(movable) for _ in range(codes - 2)] + [5, 6])
+    pairs = Counter({(r.randrange(codes), r.randrange(1, codes)): r.choice((1, 3, 31, 32, 400)) for _ in range(200)})
+    pairs[4, 4] = 50
+    n = np.zeros((size, size))
+    for (a, b), k in pairs.items():
+        n[classes[a], classes[b]] += k
+    words = range(codes - 2)
+    after, before = (np.array([np.bincount(classes, [pairs[(w, o) if side else (o, w)] for o in range(codes)], minlength=size) for w in words]) for side in (True, False))
+    loop = np.array([float(pairs[w, w]) for w in words])
+    to, gain = brown.best_classes(n, classes[: codes - 2], after, before, loop, movable, (brown.Cells(n[:movable].T), brown.Cells(n[:, :movable])))
+    base = slow_likelihood(pairs, classes)
+    for w in words:
+        gains = []
+        for c in range(movable):
+            tried = classes.copy()
+            tried[w] = c
+            gains.append(slow_likelihood(pairs, tried) - base)
+        assert gain[w] == pytest.approx(max(gains), abs=1e-7) and gains[to[w]] == pytest.approx(max(gains), abs=1e-7)

@@ -41,6 +41,10 @@ _CHUNK = 4_000_000
 _BIGRAMS = 4_000_000
 #: Words that the driver holds on their way to the lexicon's file.
 _PART = 500_000
+#: Words in a block of contexts.
+_BLOCK = 500
+#: Bigrams of words that move which a task holds before it adds them up.
+_HELD = 1_000_000
 #: Counts up to which a move's gains are looked up.
 _SMALL = 31
 #: The exchange ends when a round over all groups gains less than this, in nats a token.
@@ -241,8 +245,9 @@ def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(texts: DataFrame, lexicon: Lexicon, groups: int, tokens: int) -> DataFrame:
-    """(w, after, n_after, before, n_before, turn) over all documents: for each code the codes after and before it, with counts, and its group; others
-    than words are in a group of their own. tokens: of all documents; a task has those of about ``_BIGRAMS``.
+    """(w, after, before, turn) over all documents, a row for about ``_BLOCK`` codes of one group, all codes of a block whole: the codes, and the codes
+    after and before each, with counts, as ``_side`` packs them. Others than words are in a group of their own. tokens: of all documents; a task has
+    those of about ``_BIGRAMS``.
 
     Each task adds up its bigrams and sends them in blocks, sorted and compressed, so that a block is a row and a bigram a few bytes.
     """
@@ -258,17 +263,23 @@ def contexts(texts: DataFrame, lexicon: Lexicon, groups: int, tokens: int) -> Da
         def flush() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             held.clear()
+            first = key // size
+            second = key - first * size
             for after in (True, False):
-                w, o = (key // size, key % size) if after else (key % size, key // size)
-                rows = np.flatnonzero(w < words) if not after else np.arange(len(w))
-                bucket = _place(w[rows], buckets)
-                order = np.lexsort((w[rows], bucket))
-                rows, bucket = rows[order], bucket[order]
-                ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1 if len(rows) else np.zeros(0, np.int64)
+                w, o, m = (first, second, n) if after else (second, first, n)
+                if not after:
+                    some = np.flatnonzero(w < words)
+                    some = some[np.argsort(w[some] * size + o[some])]
+                    w, o, m = w[some], o[some], m[some]
+                # Each block in the order of w: a stable sort of what is so already.
+                bucket = _place(w, buckets).astype(np.min_scalar_type(buckets))
+                order = np.argsort(bucket, kind="stable")
+                w, o, m, bucket = w[order], o[order], m[order], bucket[order]
+                ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1 if len(w) else np.zeros(0, np.int64)
                 begin = np.append(0, ends)[:-1].astype(np.int64)
                 for k in range(0, len(ends), 64):
-                    own = [rows[i:j] for i, j in zip(begin[k : k + 64], ends[k : k + 64], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[begin[k : k + 64]]), pa.array([after] * len(own)), pa.array([_packed(w[x], o[x], n[x]) for x in own], pa.binary())], ["bucket", "after", "block"])
+                    own = [slice(i, j) for i, j in zip(begin[k : k + 64], ends[k : k + 64], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[begin[k : k + 64]].astype(np.int64)), pa.array([after] * len(own)), pa.array([_packed(w[x], o[x], m[x]) for x in own], pa.binary())], ["bucket", "after", "block"])
 
         for batch in batches:
             for own in slices(batch.column(0), _CHUNK):
@@ -296,45 +307,71 @@ def contexts(texts: DataFrame, lexicon: Lexicon, groups: int, tokens: int) -> Da
             own.clear()
         codes = np.union1d(sides[True][0], sides[False][0])
         turn = np.where(codes < words, _place(codes, 1 << 20) % groups, groups).astype(np.int32)
-        for start in range(0, len(codes), 500):
-            some = codes[start : start + 500]
-            lists = []
-            for after in (True, False):
-                w, o, n = sides[after]
-                begin, end = np.searchsorted(w, some, "left"), np.searchsorted(w, some, "right")
-                ends = pa.array(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32))
-                at = slice(begin[0], end[-1])
-                lists += [pa.ListArray.from_arrays(ends, pa.array(o[at].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n[at]))]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists, pa.array(turn[start : start + 500])], ["w", "after", "n_after", "before", "n_before", "turn"])
+        for group in range(groups + 1):
+            mine = codes[turn == group]
+            for start in range(0, len(mine), _BLOCK):
+                some = mine[start : start + _BLOCK]
+                packed = []
+                for after in (True, False):
+                    w, o, n = sides[after]
+                    begin = np.searchsorted(w, some, "left")
+                    size_of = np.searchsorted(w, some, "right") - begin
+                    at = _flat(begin, size_of)
+                    packed.append(pa.array([_side(size_of, o[at], n[at])], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.int32).tobytes()], pa.binary()), *packed, pa.array([group], pa.int32())], ["w", "after", "before", "turn"])
 
     blocks = texts.mapInArrow(count, "bucket bigint, after boolean, block binary")
     return blocks.repartition(parts, "bucket").mapInArrow(gather, _CONTEXTS)
 
 
-_CONTEXTS = "w int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>, turn int"
+_CONTEXTS = "w binary, after binary, before binary, turn int"
+
+
+def _side(sizes: np.ndarray, o: np.ndarray, n: np.ndarray) -> bytes:
+    """How many neighbours each code has, all neighbours, and their counts in as few bytes as the largest needs."""
+    wide = np.min_scalar_type(int(n.max())) if len(n) else np.dtype(np.uint8)
+    raw = np.array([len(sizes), len(o), wide.itemsize], np.int64).tobytes() + sizes.astype(np.uint32).tobytes() + o.astype(np.uint32).tobytes() + n.astype(wide).tobytes()
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "lz4", asbytes=True)
+
 
+def _unside(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(data.slice(8), int(np.frombuffer(data, np.int64, 1)[0]), "lz4")
+    k, m, size = np.frombuffer(raw, np.int64, 3)
+    return np.frombuffer(raw, np.uint32, k, 24), np.frombuffer(raw, np.uint32, m, 24 + 4 * k), np.frombuffer(raw, f"u{size}", m, 24 + 4 * (k + m))
 
-def _lists(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lists in columns k and k + 1: the row of each item, the item and its count."""
-    codes, n = batch.column(k), batch.column(k + 1)
-    return np.repeat(np.arange(len(codes)), np.diff(codes.offsets.to_numpy())), codes.flatten().to_numpy(), n.flatten().to_numpy()
+
+def _codes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The number and the codes of each block of a batch."""
+    for k, x in enumerate(batch.column(0)):
+        yield k, np.frombuffer(x.as_buffer(), np.int32)
 
 
 def _flog(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def _summed(parts: DataFrame, n: int) -> np.ndarray:
-    """The sums of (i, x) by i, taken on the executors."""
-    t = parts.groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    out = np.zeros(n)
-    out[t.column("i").to_numpy()] = t.column("x").to_numpy()
+def _summed(parts: DataFrame, levels: int, cells: int) -> np.ndarray:
+    """[i]: the sums of the arrays x by i, taken on the executors."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(pa.decompress(x.as_buffer(), 8 * cells, "zstd"))
+        yield _cells(sums)
+
+    t = parts.repartition("i").mapInArrow(add, _CELLS).toArrow()
+    out = np.zeros((levels, cells))
+    for i, x in zip(t.column("i").to_pylist(), t.column("x"), strict=True):
+        out[i] = np.frombuffer(pa.decompress(x.as_buffer(), 8 * cells, "zstd"))
     return out
 
 
-def _cells(total: np.ndarray) -> pa.RecordBatch:
-    i = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "x"])
+_CELLS = "i bigint, x binary"
+
+
+def _cells(sums: Mapping[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in sums.values()], pa.binary())], ["i", "x"])
 
 
 def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
@@ -344,11 +381,12 @@ def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int) -> np.nda
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, np.zeros(size * size)
         for batch in batches:
-            row, o, n = _lists(batch, 1)
-            total += np.bincount(own[batch.column(0).to_numpy()[row]].astype(np.int64) * size + own[o], weights=n, minlength=size * size)
-        yield _cells(total)
+            for k, w in _codes(batch):
+                sizes, o, n = _unside(batch.column(1)[k].as_buffer())
+                total += np.bincount(np.repeat(own[w].astype(np.int64) * size, sizes) + own[o], weights=n, minlength=size * size)
+        yield _cells({0: total})
 
-    out = _summed(contexts.select("w", "after", "n_after").mapInArrow(add, "i bigint, x double"), size * size)
+    out = _summed(contexts.select("w", "after").mapInArrow(add, _CELLS), 1, size * size)
     sent.destroy()
     return out.reshape(size, size)
 
@@ -356,29 +394,54 @@ def class_bigrams(contexts: DataFrame, classes: np.ndarray, size: int) -> np.nda
 def changes(contexts: DataFrame, classes: np.ndarray, then: np.ndarray, level: np.ndarray, levels: int, size: int) -> np.ndarray:
     """[q]: how the class bigrams change if the codes of level q and more have the classes ``then``; level: -1 for codes that stay."""
     sent = contexts.sparkSession.sparkContext.broadcast((classes, then, level))
+    cells = size * size
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, new, up = sent.value
-        total = np.zeros((levels, size * size))
+        total = np.zeros(levels * cells)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def put(q: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+            nonlocal total
+            total += np.bincount((q.astype(np.int64) * size + a) * size + b, weights=n, minlength=levels * cells)
+
+        def flush() -> None:
+            # From the highest level down a bigram's cell changes where one of its codes moves, and where the other does.
+            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            left, right = up[a], up[b]
+            q = np.maximum(left, right)
+            x, y = np.where(left == q, new[a], own[a]), np.where(right == q, new[b], own[b])
+            put(q, own[a], own[b], -n)
+            put(q, x, y, n)
+            both = np.flatnonzero((left >= 0) & (right >= 0) & (left != right))
+            a, b, n, q = a[both], b[both], n[both], np.minimum(left, right)[both]
+            put(q, x[both], y[both], -n)
+            put(q, new[a], new[b], n)
+
         for batch in batches:
-            batch = batch.filter(pa.array(up[batch.column(0).to_numpy()] >= 0))
-            w = batch.column(0).to_numpy()
-            sides = [(w[row], o, n) for row, o, n in (_lists(batch, 1), _lists(batch, 3))]
-            for q in range(levels):
-                sides = [tuple(x[up[mine] >= q] for x in (mine, o, n)) for mine, o, n in sides]
-                now = lambda c, q=q: np.where(up[c] >= q, new[c], own[c]).astype(np.int64)
-                a, o, n = sides[0]
-                total[q] += np.bincount(now(a) * size + now(o), weights=n, minlength=size * size)
-                total[q] -= np.bincount(own[a].astype(np.int64) * size + own[o], weights=n, minlength=size * size)
-                # A pair of two that move counts once, with its first word.
-                b, o, n = (x[up[sides[1][1]] < q] for x in sides[1])
-                total[q] += np.bincount(own[o].astype(np.int64) * size + new[b], weights=n, minlength=size * size)
-                total[q] -= np.bincount(own[o].astype(np.int64) * size + own[b], weights=n, minlength=size * size)
-        yield _cells(total.ravel())
-
-    out = _summed(contexts.select("w", "after", "n_after", "before", "n_before").mapInArrow(add, "i bigint, x double"), levels * size * size)
+            for k, w in _codes(batch):
+                moved = np.flatnonzero(up[w] >= 0)
+                if not len(moved):
+                    continue
+                for j in (1, 2):
+                    sizes, o, n = _unside(batch.column(j)[k].as_buffer())
+                    at = _flat((np.cumsum(sizes, dtype=np.int64) - sizes)[moved], sizes[moved].astype(np.int64))
+                    mine, o, n = np.repeat(w[moved], sizes[moved]), o[at], n[at].astype(float)
+                    if j == 2:
+                        # A pair of two that move counts once, with its first word.
+                        once = np.flatnonzero(up[o] < 0)
+                        mine, o, n = o[once], mine[once], n[once]
+                    held.append((mine, o, n))
+                if sum(len(n) for *_, n in held) >= _HELD:
+                    flush()
+        if held:
+            flush()
+        yield _cells({q: x for q, x in enumerate(total.reshape(levels, cells)) if x.any()})
+
+    out = _summed(contexts.select("w", "after", "before").mapInArrow(add, _CELLS), levels, cells)
     sent.destroy()
-    return out.reshape(levels, size, size)
+    return np.cumsum(out[::-1], axis=0)[::-1].reshape(levels, size, size)
 
 
 def likelihood(n: np.ndarray) -> float:
@@ -386,16 +449,21 @@ def likelihood(n: np.ndarray) -> float:
     return float(_flog(n).sum() - _flog(n.sum(1)).sum() - _flog(n.sum(0)).sum())
 
 
-def _small(m: np.ndarray) -> np.ndarray:
-    """[l, a, c]: what adding l <= _SMALL to the cell m[a, c] gains."""
-    return _flog(m + np.arange(_SMALL + 1)[:, None, None]) - _flog(m)
+class Cells:
+    """The class bigrams m[a, c] of one side as the moves need them: c is the class of the word, a its neighbour's."""
+
+    def __init__(self, m: np.ndarray):
+        self.m = np.ascontiguousarray(m)
+        self.log = _flog(self.m)
+        #: [l * len(m) + a, c]: what adding l <= _SMALL to the cell gains.
+        self.small = (_flog(self.m + np.arange(_SMALL + 1)[:, None, None]) - self.log).reshape(-1, m.shape[1])
 
 
-def best_classes(n: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, loop: np.ndarray, movable: int, small: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def best_classes(n: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, loop: np.ndarray, movable: int, sides: tuple[Cells, Cells]) -> tuple[np.ndarray, np.ndarray]:
     """For each word of classes ``own`` the class among the first ``movable`` to which it moves best, and what that gains.
 
     n: class bigrams; after, before: the words' counts with each class, those with themselves (loop) included;
-    small: ``_small`` of the cells before and after.
+    sides: the ``Cells`` after and before.
     """
     every = np.arange(len(own))
     left, right = after.copy(), before.copy()
@@ -403,38 +471,49 @@ def best_classes(n: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.n
     right[every, own] -= loop
     gain = np.zeros((len(own), movable))
     # The word's counts are taken out of its class's row and column; then those that it adds elsewhere are put in.
-    for m, known, x, other in ((n[:movable].T, small[0], left, right), (n[:, :movable], small[1], right, left)):
-        i, a = np.nonzero(x)
-        if not len(i):
-            continue
+    for cells, x, other in ((sides[0], left, right), (sides[1], right, left)):
+        i, a = np.divmod(np.flatnonzero(x.ravel() != 0), x.shape[1])
+        # Words with equally many items follow each other, so that theirs are summed as one array.
+        many = np.bincount(i, minlength=len(own))
+        order = np.argsort(many.astype(np.uint16)[i], kind="stable")
+        i, a = i[order], a[order]
         by, mine = x[i, a], own[i]
         same = a == mine
-        easy = (by <= _SMALL) & ~same
-        part = np.empty((len(i), movable))
-        part[easy] = known[by[easy].astype(np.int64), a[easy]]
-        base = m[a[~easy]] - other[i[~easy], :movable] * same[~easy, None]
-        part[~easy] = _flog(base + by[~easy, None]) - _flog(base)
-        base = m[a, mine] - by - same * (other[i, mine] + loop[i])
+        part = cells.small.take(np.minimum(by, _SMALL).astype(np.int64) * len(cells.m) + a, axis=0)
+        some = np.flatnonzero(by > _SMALL)
+        part[some] = _flog(cells.m[a[some]] + by[some, None]) - cells.log[a[some]]
+        some = np.flatnonzero(same)
+        less = other[i[some], :movable]
+        row, c = np.divmod(np.flatnonzero(less.ravel() != 0), movable)
+        base, row = cells.m[mine[some[row]], c] - less[row, c], some[row]
+        part[row, c] = _flog(base + by[row]) - _flog(base)
+        base = cells.m[a, mine] - by - same * (other[i, mine] + loop[i])
         part[np.arange(len(i)), mine] = _flog(base + by) - _flog(base)
-        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-        gain[i[first]] += np.add.reduceat(part, first)
+        start = 0
+        for m, words in enumerate(np.bincount(many)):
+            if m and words:
+                rows = slice(start, start := start + m * words)
+                gain[i[rows][::m]] += part[rows].reshape(words, m, movable).sum(1)
     # The cell (c, c) changes by both and by the loop at once.
-    i, c = np.nonzero(((left[:, :movable] > 0) & (right[:, :movable] > 0)) | (loop[:, None] > 0))
+    i, c = np.divmod(np.flatnonzero((((left[:, :movable] > 0) & (right[:, :movable] > 0)) | (loop[:, None] > 0)).ravel()), movable)
     by, into, twice = left[i, c], right[i, c], loop[i]
     cell = n[c, c] - (c == own[i]) * (by + into + twice)
     gain[i, c] += _flog(cell + by + into + twice) - _flog(cell + by) - _flog(cell + into) + _flog(cell)
-    for sums, x in ((n.sum(1), left), (n.sum(0), right)):
+    for sums, x in ((n.sum(1)[:movable], left), (n.sum(0)[:movable], right)):
         more = x.sum(1) + loop
-        base = np.repeat(sums[None, :movable], len(own), 0)
-        base[every, own] -= more
-        gain -= _flog(base + more[:, None]) - _flog(base)
+        # Most words share their number with others of the block; their own classes differ.
+        different, which = np.unique(more, return_inverse=True)
+        part = (_flog(sums + different[:, None]) - _flog(sums))[which]
+        base = sums[own] - more
+        part[every, own] = _flog(base + more) - _flog(base)
+        gain -= part
     to = gain.argmax(1)
     return to, gain[every, to] - gain[every, own]
 
 
 def best_class(n: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, loop: float, movable: int) -> tuple[int, float]:
     """``best_classes`` of one word."""
-    to, gain = best_classes(n, np.array([own]), after[None].astype(float), before[None].astype(float), np.array([loop]), movable, (_small(n[:movable].T), _small(n[:, :movable])))
+    to, gain = best_classes(n, np.array([own]), after[None].astype(float), before[None].astype(float), np.array([loop]), movable, (Cells(n[:movable].T), Cells(n[:, :movable])))
     return int(to[0]), float(gain[0])
 
 
@@ -456,20 +535,23 @@ def exchange(table: DataFrame, counts: np.ndarray, k: int, rounds: int | None, g
 
             def move(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 own, counts = sent.value
-                small = _small(counts[:k].T), _small(counts[:, :k])
-                for whole in batches:
-                    for start in range(0, len(whole), 500):
-                        batch = whole.slice(start, 500)
-                        w = batch.column(0).to_numpy()
+                sides = Cells(counts[:k].T), Cells(counts[:, :k])
+                for batch in batches:
+                    found = []
+                    for j, w in _codes(batch):
                         sums = []
-                        for j in (1, 3):
-                            row, o, m = _lists(batch, j)
-                            sums.append(np.bincount(row * size + own[o], weights=m, minlength=len(w) * size).reshape(-1, size))
-                            loop = np.bincount(row, weights=m * (o == w[row]), minlength=len(w))
+                        for side in (1, 2):
+                            sizes, o, m = _unside(batch.column(side)[j].as_buffer())
+                            sums.append(np.bincount(np.repeat(np.arange(len(w)) * size, sizes) + own[o], weights=m, minlength=len(w) * size).reshape(-1, size))
+                        looped = np.flatnonzero(o == np.repeat(w, sizes))
+                        loop = np.zeros(len(w))
+                        loop[np.searchsorted(w, o[looped])] = m[looped]
                         now = own[w].astype(np.int64)
-                        to, gain = best_classes(counts, now, *sums, loop, k, small)
-                        moved = (gain > 1e-6) & (to != now)
-                        yield pa.RecordBatch.from_arrays([pa.array(w[moved]), pa.array(to[moved].astype(np.int32)), pa.array(gain[moved])], ["w", "c", "gain"])
+                        to, gain = best_classes(counts, now, *sums, loop, k, sides)
+                        moved = np.flatnonzero((gain > 1e-6) & (to != now))
+                        found.append((w[moved], to[moved].astype(np.int32), gain[moved]))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["w", "c", "gain"])
 
             moves = own.mapInArrow(move, "w int, c int, gain double").toArrow().sort_by([("gain", "descending"), ("w", "ascending")])
             sent.destroy()
@@ -563,7 +645,7 @@ def train(docs: DataFrame, *, text_col: str = "text", classes: int = 64, least:
     every[known + others.column("c").to_numpy()] = others.column("n").to_numpy()
     at = scratch(spark, "contexts")
     try:
-        contexts(texts, lexicon, groups, total).write.partitionBy("turn").parquet(at)
+        contexts(texts, lexicon, groups, total).write.partitionBy("turn").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(at)
         own, n, trace = exchange(spark.read.schema(_CONTEXTS).parquet(at), counts, classes, rounds, groups, tolerance)
     finally:
         remove(spark, at)
