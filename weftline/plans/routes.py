@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import blank_comments
 from weftline.operators.graphs import impact, inherited, reach_each, reverse
-from weftline.operators.sets import declared, first_by
+from weftline.operators.sets import declared
 
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".css", ".scss", ".sass", ".less", ".json")
 _DESIGN = r"(?i)\.([cm]?[jt]sx?|css|scss|sass|less|json|svg|png|jpe?g|webp|gif|woff2?|ttf|otf)$"
@@ -103,35 +103,47 @@ def bindings(text: str) -> dict[str, str]:
     return out | dict(_LAZY.findall(blank_comments(text)))
 
 
-def resolution_candidates(importer: str, spec: str, aliases: dict[str, str]) -> list[str]:
-    """The paths that a specifier can mean, in order (G02): the longest alias, else relative; then extensions, then index files. Packages mean none."""
+def resolution_base(importer: str, spec: str, aliases: dict[str, str]) -> str | None:
+    """The path that a specifier names, without what may be left out (G02): the longest alias, else relative. Packages name none."""
     alias = max((a for a in aliases if spec == a or spec.startswith(a)), key=len, default=None)
     if alias is not None:
         base = aliases[alias] + spec[len(alias) :]
     elif spec.startswith((".", "/")):
         base = posixpath.join(posixpath.dirname(importer), spec) if spec.startswith(".") else spec.lstrip("/")
     else:
-        return []
-    base = posixpath.normpath(base.split("?")[0])
-    return [base, *(base + e for e in EXTENSIONS), *(f"{base}/index{e}" for e in EXTENSIONS)]
+        return None
+    return posixpath.normpath(base.split("?")[0])
+
+
+#: What a specifier may leave out, in order: nothing, extensions, index files.
+_LEFT_OUT = ("", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS))
+
+
+def resolution_candidates(importer: str, spec: str, aliases: dict[str, str]) -> list[str]:
+    """The paths that a specifier can mean, in order."""
+    base = resolution_base(importer, spec, aliases)
+    return [] if base is None else [base + e for e in _LEFT_OUT]
 
 
 def import_edges(source: DataFrame, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (src, dst) of the import graph, and unresolved local imports (importer, specifier) (G03). source: (path, text)."""
+    """Edges (src, dst) of the import graph, and unresolved local imports (importer, specifier) (G03). source: (path, text).
+
+    Files list the few bases that could mean them, rather than each specifier all its candidates.
+    """
     own_aliases = aliases or {"@/": "src/"}
-    kind = "array<struct<spec: string, candidates: array<string>>>"
-    shape = pa.list_(pa.struct([("spec", pa.string()), ("candidates", pa.list_(pa.string()))]))
+    kind = "array<struct<spec: string, base: string>>"
+    shape = pa.list_(pa.struct([("spec", pa.string()), ("base", pa.string())]))
 
     def run(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([[{"spec": s, "candidates": resolution_candidates(p, s, own_aliases)} for s in specifiers(p, t or "")] for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True)], shape)
+        return pa.array([[{"spec": s, "base": resolution_base(p, s, own_aliases)} for s in specifiers(p, t or "")] for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True)], shape)
 
     code = source.where(F.col("path").rlike(r"(?i)\.([cm]?[jt]sx?|css|scss|sass|less)$"))
-    specs = code.select(F.col("path").alias("src"), F.explode(F.arrow_udf(run, kind)("path", "text")).alias("x")).select("src", F.col("x.spec").alias("specifier"), "x.candidates").where(F.size("candidates") > 0)
-    tries = specs.select("src", "specifier", F.posexplode("candidates").alias("ord", "dst"))
-    found = tries.join(source.select(F.col("path").alias("dst")), "dst", "left_semi")
-    best = first_by(found, ["src", "specifier"], F.col("ord")).select("src", "specifier", "dst")
-    lost = specs.select("src", "specifier").join(best, ["src", "specifier"], "left_anti").select(F.col("src").alias("importer"), "specifier")
-    return best.select("src", "dst").distinct(), lost
+    specs = code.select(F.col("path").alias("src"), F.explode(F.arrow_udf(run, kind)("path", "text")).alias("x")).select("src", F.col("x.spec").alias("specifier"), "x.base").where("base is not null")
+    cut = lambda e: F.expr(f"left(path, length(path) - {len(e)})")
+    named = F.array_compact(F.array(*(F.when(F.col("path").endswith(e), F.struct(F.lit(i).alias("ord"), cut(e).alias("base"))) for i, e in enumerate(_LEFT_OUT))))
+    files = source.select("path", F.explode(named).alias("x")).groupBy("x.base").agg(F.min_by("path", "x.ord").alias("dst"))
+    best = specs.join(files, "base", "left")
+    return best.where("dst is not null").select("src", "dst").distinct(), best.where("dst is null").select(F.col("src").alias("importer"), "specifier")
 
 
 def merged(definitions: DataFrame) -> DataFrame:
