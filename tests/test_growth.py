@@ -45,4 +45,5 @@ def test_imports_are_not_sent_once_a_candidate(spark):
     assert sorted(map(tuple, edges.collect())) == sorted(want) and len(want) > 50
     assert sorted(map(tuple, lost.collect())) == sorted(missing) and len(missing) > 100
     n = sum(len(routes.specifiers(p, t)) for p, t in texts)
+    assert shuffled(spark, lambda: edges.agg(F.count("*")).collect()) < 4 * n
     assert shuffled(spark, lambda: lost.agg(F.count("*")).collect()) < 4 * n
