@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from weftline.operators import mining
 from weftline.plans import routes
 
 
@@ -47,3 +48,23 @@ def test_imports_are_not_sent_once_a_candidate(spark):
     n = sum(len(routes.specifiers(p, t)) for p, t in texts)
     assert shuffled(spark, lambda: edges.agg(F.count("*")).collect()) < 4 * n
     assert shuffled(spark, lambda: lost.agg(F.count("*")).collect()) < 4 * n
+
+
+def by_task(df) -> list[int]:
+    """Rows of each task that returns any, most first."""
+    return sorted((r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()), reverse=True)
+
+
+def test_equal_values_of_one_large_group_are_paired_by_many_tasks(spark):
+    r = random.Random(6)
+    names = [(f"n{i:05d}", "#fff", "#000") for i in range(2500)] + [(f"m{i}", r.choice("abc"), r.choice("ab")) for i in range(60)]
+    names += names[:2] + [(None, "#fff", "#000"), (None, "a", "a"), ("x", None, "a"), ("y", None, "a"), ("z", "a", None), ("one", "q", "q")]
+    r.shuffle(names)
+    got = mining.equal_values(spark.createDataFrame(names, "name string, light string, dark string"))
+    tasks = by_task(got)
+    assert len(tasks) >= 4 and tasks[0] < sum(tasks) / 2
+    groups: dict = {}
+    for n, *values in names:
+        groups.setdefault(tuple(values), []).append(n)
+    want = sorted((a, b) for v, ns in groups.items() if None not in v for a in ns for b in ns if a and b and a < b)
+    assert sorted((t.a, t.b) for t in got.toPandas().itertuples()) == want and len(want) > 3_000_000
